@@ -1,6 +1,6 @@
 """Registered queries, grouped by the inventory sections they cover."""
 
-from traymetrics.catalog import check_queries, impact_queries, service_queries  # noqa: F401
+from traymetrics.catalog import check_queries, impact_queries, pixel_queries, service_queries  # noqa: F401
 from traymetrics.catalog.registry import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]

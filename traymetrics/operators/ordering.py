@@ -7,6 +7,9 @@ each chunk and completed with one small row per chunk (or per key that crosses a
 
 from __future__ import annotations
 
+import functools
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -45,50 +48,62 @@ def global_rank(df: DataFrame, *order: Column, name: str = "rank") -> DataFrame:
     )
 
 
-def _local(keys: list[str], start, end):
-    return Window.partitionBy(*keys, CHUNK).orderBy(POS).rowsBetween(start, end)
+class Last(NamedTuple):
+    """Latest non-null value of the key before each row (or up to it, if inclusive)."""
+
+    name: str
+    value: Column
+    inclusive: bool = False
+
+
+class Total(NamedTuple):
+    """Running total of the key up to and including each row."""
 
+    name: str
+    value: Column
 
-def _carried(chunks: DataFrame, keys: list[str], summary: Column, combine, name: str) -> DataFrame:
-    """Per (key, chunk): the value that earlier chunks of the same key hand over.
 
-    Only keys that span chunks have one, so there are fewer rows than chunks: safe to broadcast.
+def scan(chunks: DataFrame, keys: list[str], *specs: Last | Total) -> DataFrame:
+    """Running values per key in chunk order, all in one pass.
+
+    Inside a chunk they are plain windows. What earlier chunks of the same key hand over exists only
+    for keys that cross a chunk border, so that table has fewer rows than there are chunks: it is
+    frozen and broadcast.
     """
-    per = chunks.groupBy(*keys, CHUNK).agg(summary.alias("_s"))
+    df = chunks.withColumns({f"_v{i}": s.value for i, s in enumerate(specs)})
+    summary, handed, local, final = [], [], {}, {}
     before = Window.partitionBy(*keys).orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
-    carried = per.select(*keys, CHUNK, combine(F.col("_s")).over(before).alias(name)).filter(F.col(name).isNotNull())
-    return F.broadcast(carried)
+    inside = Window.partitionBy(*keys, CHUNK).orderBy(POS)
+    for i, s in enumerate(specs):
+        v, h = F.col(f"_v{i}"), F.col(f"_h{i}")
+        if isinstance(s, Last):
+            summary.append(F.max_by(v, F.when(v.isNotNull(), F.col(POS))).alias(f"_s{i}"))
+            handed.append(F.last(f"_s{i}", ignorenulls=True).over(before).alias(f"_h{i}"))
+            local[s.name] = F.last(v, ignorenulls=True).over(inside.rowsBetween(Window.unboundedPreceding, 0 if s.inclusive else -1))
+            final[s.name] = F.coalesce(F.col(s.name), h)
+        else:
+            summary.append(F.sum(v).alias(f"_s{i}"))
+            handed.append(F.sum(f"_s{i}").over(before).alias(f"_h{i}"))
+            local[s.name] = F.sum(v).over(inside.rowsBetween(Window.unboundedPreceding, 0))
+            final[s.name] = F.col(s.name) + F.coalesce(h, F.lit(0))
+    some = functools.reduce(lambda a, b: a | b, [F.col(f"_h{i}").isNotNull() for i in range(len(specs))])
+    carried = df.groupBy(*keys, CHUNK).agg(*summary).select(*keys, CHUNK, *handed).filter(some)
+    carried = materialize(carried.coalesce(1))
+    on = functools.reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate([*keys, CHUNK])])
+    renamed = carried.withColumnsRenamed({k: f"_k{i}" for i, k in enumerate([*keys, CHUNK])})
+    out = df.withColumns(local).join(F.broadcast(renamed), on, "left").withColumns(final)
+    return out.drop(*[f"_v{i}" for i in range(len(specs))], *[f"_h{i}" for i in range(len(specs))], *renamed.columns)
 
 
 def carry_last(chunks: DataFrame, keys: list[str], value: Column, name: str, inclusive: bool = False) -> DataFrame:
-    """Latest non-null ``value`` of the same key before each row (or up to it)."""
-    df = chunks.withColumn("_v", value)
-    handed = _carried(
-        df, keys, F.max_by(F.col("_v"), F.when(F.col("_v").isNotNull(), F.col(POS))), lambda c: F.last(c, ignorenulls=True), "_handed"
-    )
-    local = F.last("_v", ignorenulls=True).over(_local(keys, Window.unboundedPreceding, 0 if inclusive else -1))
-    return (
-        df.withColumn(name, local)
-        .join(handed, [*keys, CHUNK], "left")
-        .withColumn(name, F.coalesce(F.col(name), F.col("_handed")))
-        .drop("_v", "_handed")
-    )
+    return scan(chunks, keys, Last(name, value, inclusive))
 
 
-def previous_value(chunks: DataFrame, keys: list[str], value: Column, name: str) -> DataFrame:
-    """lag(value): the previous row's value of the same key, null included."""
-    wrapped = carry_last(chunks, keys, F.struct(value.alias("v")), "_prev")
-    return wrapped.withColumn(name, F.col("_prev.v")).drop("_prev")
+def running_sum(chunks: DataFrame, keys: list[str], value: Column, name: str) -> DataFrame:
+    return scan(chunks, keys, Total(name, value))
 
 
-def running_sum(chunks: DataFrame, keys: list[str], value: Column, name: str) -> DataFrame:
-    """Running total of the same key up to and including each row."""
-    df = chunks.withColumn("_v", value)
-    handed = _carried(df, keys, F.sum("_v"), F.sum, "_handed")
-    local = F.sum("_v").over(_local(keys, Window.unboundedPreceding, 0))
-    return (
-        df.withColumn(name, local)
-        .join(handed, [*keys, CHUNK], "left")
-        .withColumn(name, F.col(name) + F.coalesce(F.col("_handed"), F.lit(0)))
-        .drop("_v", "_handed")
-    )
+def previous_value(chunks: DataFrame, keys: list[str], value: Column, name: str) -> DataFrame:
+    """lag(value): the previous row's value of the same key, null included."""
+    wrapped = carry_last(chunks, keys, F.struct(value.alias("v")), "_previous_row")
+    return wrapped.withColumn(name, F.col("_previous_row.v")).drop("_previous_row")

@@ -1,0 +1 @@
+"""Structured Streaming operators and the helper that lands their output."""

@@ -33,7 +33,16 @@ def even_rounding(sql: str) -> str:
         i = k
 
 
-def query(name: str, sql: str | None = None, domain: bool = True):
+def visible_views() -> str:
+    """The shared views with hidden and cleared captures taken out of ``cap`` (not out of menus)."""
+    sql = DOMAIN_SQL.replace("cap AS (", "cap0 AS (", 1).replace("FROM cap),\natt AS", "FROM cap0),\n" + VISIBLE_CAP + ",\natt AS", 1)
+    return sql.replace("JOIN cap c ON l.l_orderkey", "JOIN cap0 c ON l.l_orderkey", 1)
+
+
+VISIBLE_CAP = "cap AS (SELECT * FROM cap0 WHERE event_id % 38 <> 0 AND NOT (hall_id = 'hall-4' AND captured_at < TIMESTAMP '1996-01-01'))"
+
+
+def query(name: str, sql: str | None = None, domain: bool = True, visible: bool = False):
     """Register ``fn(tables)``; ``sql`` follows the shared views unless ``domain`` is off."""
 
     def register(fn: Callable[[Tables], DataFrame]):
@@ -43,7 +52,7 @@ def query(name: str, sql: str | None = None, domain: bool = True):
         if sql is not None:
             text = even_rounding(sql.strip())
             if domain:
-                text = DOMAIN_SQL + (text if text.startswith(",") else "\n" + text)
+                text = (visible_views() if visible else DOMAIN_SQL) + (text if text.startswith(",") else "\n" + text)
             ORACLE[name] = text
         return fn
 

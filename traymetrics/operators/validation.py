@@ -56,7 +56,7 @@ def check_menu_items(df: DataFrame, key: list[str] | None = None) -> DataFrame:
     clean = df.withColumns({c: collapse(c) for c in ("name", "category", "description")})
     clean = clean.withColumn("item_id", item_id("hall_id", "service_date", "meal_label", "name"))
     per_item = clean.groupBy(*meal, "item_id").agg(F.count(F.lit(1)).alias("_same"))
-    per_meal = clean.groupBy(*meal).agg(F.count(F.lit(1)).alias("_size"))
+    per_meal = clean.groupBy(*meal).agg(F.count(F.lit(1)).alias("_meal_size"))
     return (
         clean.join(per_item, [*meal, "item_id"])
         .join(per_meal, meal)
@@ -69,10 +69,10 @@ def check_menu_items(df: DataFrame, key: list[str] | None = None) -> DataFrame:
                 (F.length("description") > MAX_DESCRIPTION, "description_too_long"),
                 (F.col("item_id").endswith("_"), "name_without_letters"),
                 (F.col("_same") > 1, "duplicate_item"),
-                (F.col("_size") > MAX_ITEMS_PER_MEAL, "too_many_items"),
+                (F.col("_meal_size") > MAX_ITEMS_PER_MEAL, "too_many_items"),
             ),
         )
-        .drop("_same", "_size")
+        .drop("_same", "_meal_size")
     )
 
 

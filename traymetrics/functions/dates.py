@@ -23,9 +23,14 @@ def local_hhmm(ts, tz) -> Column:
 
 
 def zoned_to_utc(date, hhmm, tz) -> Column:
-    """F-7: hall-local wall time to the UTC instant."""
+    """F-7: hall-local wall time to the UTC instant, by two offset corrections.
+
+    A wall time that exists twice gives its first instant; one that a clock change skips gives the
+    instant one hour before the wall time would have been. Needs the session time zone UTC.
+    """
     wall = F.to_timestamp(F.concat(F.date_format(as_col(date), "yyyy-MM-dd"), F.lit(" "), as_col(hhmm)), "yyyy-MM-dd HH:mm")
-    return F.to_utc_timestamp(wall, as_col(tz))
+    once = wall + (wall - F.from_utc_timestamp(wall, as_col(tz)))
+    return once + (wall - F.from_utc_timestamp(once, as_col(tz)))
 
 
 def each_day(start, end) -> Column:

@@ -34,6 +34,16 @@ def is_number(v: Column) -> Column:
     return F.coalesce(kind(v).isin("BIGINT", "DOUBLE", "DECIMAL", "FLOAT"), F.lit(False))
 
 
+def is_object(v: Column) -> Column:
+    return F.try_variant_get(v, "$", "map<string, variant>").isNotNull()
+
+
+def outer_kind(raw) -> Column:
+    """OBJECT or ARRAY by the first character of valid JSON text (no walk through the document)."""
+    first = F.substring(F.ltrim(F.regexp_replace(raw, r"^\s+", "")), 1, 1)
+    return F.when(first == "{", F.lit("OBJECT")).when(first == "[", F.lit("ARRAY")).otherwise(F.lit("SCALAR"))
+
+
 def field(v: Column, name: str, as_type: str) -> Column:
     return F.try_variant_get(v, f"$.{name}", as_type)
 
@@ -74,7 +84,7 @@ def check_area_answers(answers: DataFrame, menu: DataFrame) -> DataFrame:
         base_num = field(e, "estimatedUneatenAreaPx", "double")
         string_id = F.coalesce(kind(field(e, "itemId", "variant")) == "STRING", F.lit(False))
         return (
-            F.when(~F.coalesce(kind(e) == "OBJECT", F.lit(False)), F.lit("item_not_object"))
+            F.when(~is_object(e), F.lit("item_not_object"))
             .when(~string_id | (item == ""), F.lit("item_missing_id"))
             .when(F.array_contains("_foreign", item), F.lit("unknown_item_id_in_response"))
             .when(F.array_position(ids, item) < i + 1, F.lit("duplicate_item_assignment"))
@@ -89,7 +99,7 @@ def check_area_answers(answers: DataFrame, menu: DataFrame) -> DataFrame:
     def unknown_reason(e: Column) -> Column:
         label = field(e, "label", "variant")
         return (
-            F.when(~F.coalesce(kind(e) == "OBJECT", F.lit(False)), F.lit("unknown_not_object"))
+            F.when(~is_object(e), F.lit("unknown_not_object"))
             .when(~F.coalesce((kind(label) == "STRING") & (F.trim(field(e, "label", "string")) != ""), F.lit(False)), F.lit("unknown_missing_label"))
             .when(~(is_number(field(e, "remainingAreaPx", "variant")) & finite_nonneg(field(e, "remainingAreaPx", "double"))), F.lit("invalid_unknown_area"))
         )
@@ -103,7 +113,7 @@ def check_area_answers(answers: DataFrame, menu: DataFrame) -> DataFrame:
     claimed = total("_items") + total("_unknown")
     reason = (
         F.when(v.isNull(), F.lit("response_not_json"))
-        .when(~F.coalesce(kind(v) == "OBJECT", F.lit(False)), F.lit("response_not_object"))
+        .when(outer_kind("raw") != "OBJECT", F.lit("response_not_object"))
         .when(~boolean("plateEmpty"), F.lit("missing_or_invalid_field:plateEmpty"))
         .when(~boolean("ambiguous"), F.lit("missing_or_invalid_field:ambiguous"))
         .when(F.col("_items").isNull(), F.lit("missing_or_invalid_field:items"))
@@ -129,7 +139,7 @@ def parse_box_answers(answers: DataFrame, menu: DataFrame) -> tuple[DataFrame, D
     with any out-of-range menu number is rejected as a whole.
     """
     v = F.col("_v")
-    df = answers.withColumn("_v", F.try_parse_json("raw")).withColumn("_kind", kind(v))
+    df = answers.withColumn("_v", F.try_parse_json("raw")).withColumn("_kind", outer_kind("raw"))
     df = df.withColumn("_pieces", F.when(F.col("_kind") == "ARRAY", F.try_variant_get(v, "$", "array<variant>")).when(F.col("_kind") == "OBJECT", items_of(v, "pieces")))
     shape = (
         F.when(v.isNull(), F.lit("invalid_json"))

@@ -198,7 +198,7 @@ def recommendation(store: Store, start: str, end: str, hall: str | None = None)
     w = store.in_window(start, end, hall)
     scored, caps = w.scored()
     scored, caps = materialize(scored), materialize(caps)
-    foods = materialize(I.food_rows(scored, w.portions))
+    foods = I.food_rows(scored, w.portions)
     totals = I.totals_by(scored, caps, [])
     facts = materialize(A.top_facts(foods))  # at most sixteen rows
     return {

@@ -18,6 +18,7 @@ from traymetrics.operators.eligibility import (
 from traymetrics.operators.impact import MEASUREMENT_ORDER, date_spine, with_periods
 from traymetrics.operators.joins import unique_portions
 from traymetrics.operators.picking import counted_attempts, first_per_id, latest_attempts, mode_with_ties
+from traymetrics.session import materialize
 
 # fixed values
 PIXEL_REASONS = [
@@ -232,38 +233,43 @@ def portion_benchmark(services: DataFrame, items: DataFrame, captures: DataFrame
     ``measurements`` are those of the counted attempts.
     """
     svc = services.select("service_id", "hall_id", "menu_id", "menu_version")
+    g = F.col("geometry")
     caps = (
         captures.join(svc, ["service_id", "hall_id"])
         .withColumnRenamed("quality_flags", "capture_flags")
         .select("event_id", "service_id", "state", "geometry", "capture_flags", "menu_id", "menu_version")
     )
-    rows = first_per_id(measurements, "measurement_id", MEASUREMENT_ORDER).join(caps, "event_id").withColumn("_valid", valid_mask_count())
-    px = F.col("mask_count.pixels_wasted")
-    events = rows.groupBy("event_id").agg(
+    menu = items.select("menu_id", "item_id", "display_name")
+    slim = measurements.join(caps, "event_id").select(
+        "measurement_id", "event_id", "attempt_id", "item_id", "remaining_area_px", "baseline_area_px", "raw_waste_fraction", "service_id", "menu_id",
+        (F.col("state") == "succeeded").alias("_done"),
+        (g["width_px"] * g["height_px"]).alias("_canvas"),
+        geometry_json().alias("_key"),
+        F.col("mask_count.pixels_wasted").alias("_px"),
+        valid_mask_count().alias("_valid"),
+    )
+    rows = first_per_id(slim, "measurement_id", MEASUREMENT_ORDER).join(menu.select("menu_id", "item_id", F.lit(True).alias("_listed")), ["menu_id", "item_id"], "left")
+    # the narrow judged rows feed four aggregates, so they are frozen once
+    rows = materialize(rows.select("event_id", "attempt_id", "item_id", "service_id", "_done", "_canvas", "_key", "_px", "_valid", "_listed"))
+    events = rows.groupBy("event_id", "service_id", "_done", "_canvas", "_key").agg(
         F.count(F.lit(1)).alias("_n"),
         F.count_if("_valid").alias("_nv"),
-        F.coalesce(F.sum(F.when(F.col("_valid"), px)), F.lit(0)).alias("_total"),
+        F.coalesce(F.sum(F.when(F.col("_valid"), F.col("_px"))), F.lit(0)).alias("_total"),
         (F.min("attempt_id") == F.max("attempt_id")).alias("_one"),
-        F.first("service_id").alias("service_id"),
-        F.first("state").alias("_state"),
-        F.first("geometry").alias("geometry"),
     )
-    usable = (F.col("_state") == "succeeded") & F.col("_one") & (F.col("_total") <= F.col("geometry.width_px") * F.col("geometry.height_px"))
-    events = events.withColumn("_usable", usable).withColumn("_key", geometry_json())
+    events = events.withColumn("_usable", F.col("_done") & F.col("_one") & (F.col("_total") <= F.col("_canvas")))
     measured = F.col("_usable") & (F.col("_nv") > 0)
     per_service = events.groupBy("service_id").agg(
         F.count_if(measured).alias("measured_dishes"),
         F.sum(F.when(F.col("_usable"), F.col("_n") - F.col("_nv")).otherwise(F.col("_n"))).alias("_dropped"),
         (F.min(F.when(measured, F.col("_key"))) != F.max(F.when(measured, F.col("_key")))).alias("_mixed"),
     )
-    menu = items.select("menu_id", "item_id", "display_name")
     good = rows.filter("_valid").join(events.filter("_usable").select("event_id"), "event_id", "left_semi")
-    good = good.join(menu.select("menu_id", "item_id", F.lit(True).alias("_listed")), ["menu_id", "item_id"], "left")
     off_menu = good.filter(F.col("_listed").isNull()).groupBy("service_id").agg(F.count(F.lit(1)).alias("_off"))
     buckets = (
         good.filter("_listed")
         .groupBy("service_id", "item_id", "event_id")
-        .agg(F.sum(px).alias("_px"))
+        .agg(F.sum("_px").alias("_px"))
         .groupBy("service_id", "item_id")
         .agg(F.sum("_px").alias("_px"), F.count(F.lit(1)).alias("_events"))
     )

@@ -128,3 +128,21 @@ def test_gated_append_and_delete(spark):
     ok, rows, rejects = C.record_analysis(a, m, spark.createDataFrame([("a9",)], "attempt_id string"))
     assert [r.attempt_id for r in ok.collect()] == ["a1"] and rows.count() == 1
     assert {r.attempt_id: r.reason for r in rejects.collect()} == {"a2": "invalid_remaining", "a3": "calibration_not_succeeded"}
+
+
+def test_label_sheet_and_menu_json(spark, tmp_path):
+    (tmp_path / "labels.csv").write_text('station,food,serving_description,serving_g,calories,allergens_contains,menu_co2_icon\nSoup,"Bean Soup","8 oz, cup",227,274,milk; wheat/rye,high\n')
+    r = R.read_labels(spark, str(tmp_path / "labels.csv")).first()
+    assert (r.food, r.serving_g, r.calories, r.allergens, r.iron_pct_dv) == ("Bean Soup", 227.0, 274.0, ["milk", "wheat/rye"], None)
+    doc = {"hallId": "h", "hallTimezone": "UTC", "days": [{"date": "2026-10-03", "lunch": ["Rice", {"name": "Bean  Soup", "category": "Hot"}], "dinner": []}, {"date": "2026-02-30", "breakfast": ["Eggs"]}]}
+    (tmp_path / "menu.json").write_text(json.dumps(doc))
+    got = {(x.meal_label, x.name, x.category, x.reason) for x in R.read_menu_json(spark, str(tmp_path / "menu.json")).collect()}
+    assert got == {("lunch", "Rice", "", None), ("lunch", "Bean Soup", "Hot", None), ("dinner", "", "", "empty_meal"), ("breakfast", "Eggs", "", "invalid_date")}
+
+
+def test_sql_functions(spark):
+    from traymetrics.functions.sql import register_sql_functions
+
+    register_sql_functions(spark)
+    row = spark.sql("SELECT js_round(2.5D, 0) AS a, slug('Crème Brûlée  (Vegan)!') AS b, fnv1a32('a') AS c, impact_points(10000D, 1.0D, 16.06D, 1.94D) AS d").first()
+    assert (row.a, row.b, row.c, round(row.d, 3)) == (3.0, "creme-brulee-vegan", (2166136261 ^ 97) * 16777619 % 2**32, 59.614)

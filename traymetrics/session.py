@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -25,8 +24,8 @@ def local_session(cpus: str = "8", partitions: int = 8) -> SparkSession:
 def scratch_dir(spark: SparkSession) -> str:
     """The shared folder for checkpoints and intermediate tables.
 
-    The cluster names it in ``spark.checkpoint.dir``. Only a local session, where
-    the driver's disk is every executor's disk, may fall back to a temporary folder.
+    The cluster names it in ``spark.checkpoint.dir``. Where that is unset, a folder of the
+    warehouse serves, which every executor reaches as well.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -34,9 +33,7 @@ def scratch_dir(spark: SparkSession) -> str:
         return current
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if not named:
-        if not sc.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-        named = tempfile.mkdtemp(prefix="traymetrics-")
+        named = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
     sc.setCheckpointDir(named)
     return sc.getCheckpointDir()
 

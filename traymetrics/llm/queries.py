@@ -1,6 +1,6 @@
 """The queries of this subpackage; importing the operators registers them."""
 
-from traymetrics.llm import exact_dedup, sharding  # noqa: F401
+from traymetrics.llm import bpe, decontaminate, exact_dedup, sharding, simhash, warc  # noqa: F401
 from traymetrics.llm.common import ORACLE as LLM_ORACLE
 from traymetrics.llm.common import QUERIES as LLM_QUERIES
 

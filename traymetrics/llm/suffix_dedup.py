@@ -184,8 +184,8 @@ def suffix_dedup(docs: DataFrame, window: int = WINDOW, k: int = K, key: str = "
     distinct = cuts.groupBy("anchor", "content", "segment").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"))
     distinct = land(distinct, "distinct")
     sizes = distinct.groupBy("anchor").agg(F.count(F.lit(1)).alias("c"), F.max("most").alias("most"), F.min("least").alias("least"))
-    sizes = land(sizes.filter("least < most").select("anchor", F.col("most").alias("last"), (F.col("c") > hot_anchor).alias("hot")), "anchors")
-    shared = distinct.join(sizes, "anchor").filter("least < last OR least < most")
+    sizes = land(sizes.filter("least < most").select("anchor", (F.col("c") > hot_anchor).alias("hot")), "anchors")
+    shared = distinct.join(sizes, "anchor")
     bucket = F.pmod(F.xxhash64("anchor"), F.lit(max(1, distinct.agg(F.sum(F.octet_length("segment"))).first()[0] // BUCKET_BYTES if not distinct.isEmpty() else 1)))
     earlier = shared.filter("NOT hot").withColumn("bucket", bucket).groupBy("bucket").applyInArrow(lambda rows: _earlier(rows, window), _EARLIER)
     hot = sizes.filter("hot")

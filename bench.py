@@ -9,6 +9,7 @@ from __future__ import annotations
 import json
 import os
 import sys
+import tempfile
 import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
@@ -42,7 +43,7 @@ def main() -> None:
     names = sys.argv[1:] or HEADLINE
     if names == ["all"]:
         names = list(QUERIES)
-    spark = local_session(os.environ.get("BENCH_CPUS", "8"))
+    spark = local_session(os.environ.get("BENCH_CPUS", "8"), scratch=tempfile.mkdtemp(prefix="bench-"))
     spark.sparkContext.setLogLevel("OFF")
     QUERIES["w02_counted_attempts"](spark, folder).write.format("noop").mode("overwrite").save()  # start the JVM
     times = {}

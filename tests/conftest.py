@@ -10,8 +10,8 @@ from traymetrics.session import local_session  # noqa: E402
 
 
 @pytest.fixture(scope="session")
-def spark():
-    s = local_session("4", 4)
+def spark(tmp_path_factory):
+    s = local_session("4", 4, str(tmp_path_factory.mktemp("scratch")))
     s.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # small data must still span chunks
     s.sparkContext.setLogLevel("ERROR")
     yield s

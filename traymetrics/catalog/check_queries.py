@@ -10,23 +10,38 @@ from traymetrics.operators import changes as C
 from traymetrics.operators import validation as V
 from traymetrics.operators import joins as J
 from traymetrics.operators import picking as P
+from traymetrics.session import scratch_path
 
 
 def counted_by_reason(df):
     return df.groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("v05_check_menu_items", r"""
+MENU_DOC_SQL = r"""
 WITH d AS (SELECT doc_id, 'hall-' || CAST(doc_id % 5 AS VARCHAR) AS hall_id, DATE '1995-01-01' + CAST(doc_id // 90 AS INTEGER) AS service_date,
   CASE doc_id % 3 WHEN 0 THEN 'breakfast' WHEN 1 THEN 'lunch' ELSE 'dinner' END AS meal_label, CASE WHEN doc_id % 31 = 0 THEN '  ' WHEN doc_id % 37 = 0 THEN '!!' ELSE source || '  ' || lang END AS name,
   trim(regexp_replace(text, '\s+', ' ', 'g')) AS description FROM documents),
 e AS (SELECT *, trim(regexp_replace(name, '\s+', ' ', 'g')) AS nm FROM d),
 f AS (SELECT *, trim(regexp_replace(lower(strip_accents(nm)), '[^a-z0-9]+', '-', 'g'), '-') AS slug FROM e)
-SELECT doc_id, CASE WHEN nm = '' THEN 'name_empty' WHEN length(description) > 2000 THEN 'description_too_long' WHEN slug = '' THEN 'name_without_letters'
- WHEN count(*) OVER (PARTITION BY hall_id, service_date, meal_label, slug) > 1 THEN 'duplicate_item' END AS reason FROM f""", domain=False)
+"""
+
+
+@query("v05_check_menu_items", MENU_DOC_SQL + """
+SELECT doc_id, CASE WHEN nm = '' THEN 'name_empty' WHEN slug = '' THEN 'name_without_letters' WHEN count(*) OVER (PARTITION BY hall_id, service_date, meal_label, slug) > 1 THEN 'duplicate_item' END AS reason FROM f""", domain=False)
 def v05(t):
+    return V.check_menu_items(menu_docs(t)).select("doc_id", "reason")
+
+
+@query("v05_menu_limits", MENU_DOC_SQL + """
+SELECT doc_id, CASE WHEN nm = '' THEN 'name_empty' WHEN length(nm) > 7 THEN 'name_too_long' WHEN length(description) > 2000 THEN 'description_too_long' WHEN slug = '' THEN 'name_without_letters'
+ WHEN count(*) OVER (PARTITION BY hall_id, service_date, meal_label, slug) > 1 THEN 'duplicate_item' WHEN count(*) OVER (PARTITION BY hall_id, service_date, meal_label) > 5 THEN 'too_many_items' END AS reason FROM f""", domain=False)
+def v05_limits(t):
+    return V.check_menu_items(menu_docs(t), max_name=7, max_description=2000, max_items=5).select("doc_id", "reason")
+
+
+def menu_docs(t):
     d = F.col("doc_id")
-    df = t.read("documents").select(
+    return t.read("documents").select(
         "doc_id",
         F.concat(F.lit("hall-"), (d % 5).cast("string")).alias("hall_id"),
         F.date_add(F.lit("1995-01-01").cast("date"), F.floor(d / 90).cast("int")).alias("service_date"),
@@ -35,7 +50,6 @@ def v05(t):
         F.lit("").alias("category"),
         F.col("text").alias("description"),
     )
-    return V.check_menu_items(df).select("doc_id", "reason")
 
 
 @query("v06_check_service_key", """
@@ -492,6 +506,30 @@ def snk04(t):
     return ok.select("attempt_id").join(n, "attempt_id", "left").withColumn("measurements", F.coalesce("measurements", F.lit(0)))
 
 
+@query("snk04_append_analysis", """
+, bad AS (SELECT DISTINCT attempt_id FROM meas WHERE raw_waste_fraction > 1 AND NOT flag_above)
+SELECT a.attempt_id, a.status, count(m.attempt_id) AS measurements, count(m.attempt_id) FILTER (m.item_id IS NOT NULL) AS regions, CAST(sum(m.remaining_area_px) AS BIGINT) AS pixels
+FROM attempt a LEFT JOIN meas m USING (attempt_id) WHERE a.attempt_id NOT IN (SELECT attempt_id FROM bad) GROUP BY 1, 2""")
+def snk04_append(t):
+    """Two batches, the second repeats the first: everything of an attempt is stored once or not at all."""
+    rows = V.check_measurement(
+        t.measurements().withColumn("display_waste_percent", F.lit(1.0)).withColumn("unavailable_reason", F.lit(None).cast("string"))
+    ).withColumn("reason", F.when(F.col("reason") == "above_baseline_unflagged", F.col("reason")))
+    rows = rows.select("attempt_id", "measurement_id", "item_id", "remaining_area_px", "reason")
+    attempts = t.attempts().select("attempt_id", "event_id", "status").withColumn("reason", F.lit(None).cast("string"))
+    regions = rows.filter("item_id IS NOT NULL").select("attempt_id", "item_id")
+    counts = rows.groupBy("attempt_id").agg(F.sum("remaining_area_px").cast("long").alias("capture_pixels_wasted"))
+    root = scratch_path(t.spark, "analysis")
+    for batch in (attempts.filter("event_id % 3 = 0"), attempts):
+        C.append_analysis(root, batch, rows, regions, counts)
+    stored = {n: t.spark.read.parquet(f"{root}/{n}") for n in C.ANALYSIS_TABLES}
+    n = stored["food_measurement"].groupBy("attempt_id").agg(F.count(F.lit(1)).alias("measurements"))
+    r = stored["segmentation_region"].groupBy("attempt_id").agg(F.count(F.lit(1)).alias("regions"))
+    out = stored["analysis_attempt"].join(n, "attempt_id", "left").join(r, "attempt_id", "left").join(stored["capture_count"], "attempt_id", "left")
+    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    return out.select("attempt_id", "status", zero("measurements"), zero("regions"), F.col("capture_pixels_wasted").alias("pixels"))
+
+
 @query("snk05_delete_marked", """
 SELECT c.event_id, count(m.measurement_id) AS measurements FROM cap c LEFT JOIN meas m USING (event_id) WHERE c.source <> 'demo' GROUP BY 1""")
 def snk05(t):

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from traymetrics.catalog.registry import query, r4
 from traymetrics.operators import frames as R
 from traymetrics.operators import joins as J
 from traymetrics.streaming import operators as S
-from traymetrics.streaming.runner import land, latest_update, read_files
+from traymetrics.streaming.runner import land, latest_update, read_files, write_in_turn
 
 GRACE_MS = 6 * 3600 * 1000  # the median gap of one user is about seven hours
 
@@ -31,8 +32,12 @@ def plain_times(df, *cols):
     return df.withColumns({c: F.col(c).cast("timestamp_ntz") for c in cols})
 
 
-def stream_of(t, name="events"):
-    return read_files(t.spark, f"{t.folder}/{name}.parquet", t.read(name).schema)
+def stream_of(t, late_seconds=1800):
+    """The events as a stream of four files, one a batch; every seventh event comes a little late."""
+    e = t.read("events")
+    late = F.when(F.col("event_id") % 7 == 0, late_seconds).otherwise(0)
+    path = write_in_turn(e, F.col("ts").cast("timestamp").cast("double") + late, 4, "events")
+    return read_files(t.spark, path, e.schema, 1)
 
 
 T2_SQL = """
@@ -65,11 +70,10 @@ def t02_roles(t):
     return R.group_dishes(as_frames(t.read("events")), GRACE_MS)[0].drop("captured_at", "service_id")
 
 
-@query("t02_group_dishes_stream", T2_SQL + "SELECT camera_id, group_id, members, closed_by, representative FROM res WHERE closed_by IS NOT NULL", domain=False)
+@query("t02_group_dishes_stream", T2_SQL + "SELECT * FROM res WHERE closed_by IS NOT NULL", domain=False)
 def t02_stream(t):
-    events = S.group_dishes_stream(as_frames(stream_of(t)), GRACE_MS)
-    rows = land(events, "append", "dishes", S.ROCKSDB)
-    return rows.filter("kind = 'closed'").select("camera_id", "group_id", "members", "closed_by", "representative")
+    events = S.group_dishes_stream(as_frames(stream_of(t, 0)), GRACE_MS)
+    return S.closed_groups(land(events, "append", "dishes", S.ROCKSDB))
 
 
 @query("t03_manual_frames_only", "SELECT event_id AS group_id FROM events WHERE event_type <> 'view'", domain=False)
@@ -101,6 +105,16 @@ def t05(t):
     return land(S.dedupe_events(e, "30 days", key="event_key"), "append", "dedupe").select("event_key")
 
 
+@query("t05_ingest_attempts", """
+WITH e AS (SELECT event_id % 5000 AS event_id, ts, event_id AS row_id, event_type IN ('click', 'purchase') AS ok FROM events),
+f AS (SELECT *, min(CASE WHEN ok THEN row_number END) OVER (PARTITION BY event_id) AS done FROM (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY ts, row_id) AS row_number FROM e))
+SELECT event_id, count(*) AS attempts, max(CASE WHEN ok THEN 1 ELSE 0 END) = 1 AS succeeded, max(ts) AS last_at FROM f WHERE done IS NULL OR row_number <= done GROUP BY event_id""", domain=False)
+def t05_ingest(t):
+    rows = stream_of(t, 0).select((F.col("event_id") % 5000).alias("event_id"), F.col("ts").cast("timestamp").alias("at"), F.col("event_id").alias("row_id"), F.col("event_type").isin("click", "purchase").alias("ok"))
+    log = land(rows, "append", "attempts", each=S.ingest_attempts)
+    return plain_times(log.groupBy("event_id").agg(F.count(F.lit(1)).alias("attempts"), F.max("ok").alias("succeeded"), F.max("at").alias("last_at")), "last_at")
+
+
 @query("t06_latest_state", "SELECT user_id AS event_id, arg_max(event_type, (ts, event_id)) AS state, max(ts) AS changed_at FROM events GROUP BY user_id", domain=False)
 def t06(t):
     e = stream_of(t).select(F.col("user_id").alias("event_id"), F.col("event_type").alias("state"), F.col("ts").cast("timestamp").alias("changed_at"), F.col("event_id").alias("change_id"))
@@ -153,22 +167,25 @@ def t09_stream(t):
 
 
 def focus_parts(frames_src, cal_src):
-    f = as_frames(frames_src.filter("event_type in ('click', 'view')")).select("camera_id", "capture_id", "captured_at")
+    f = as_frames(frames_src.filter("event_type <> 'signup'")).select("camera_id", "capture_id", "captured_at")
     c = as_frames(cal_src.filter("event_type = 'signup'")).select("camera_id", "capture_id", "captured_at")
     return f, c
 
 
 ASOF_SQL = """
-WITH f AS (SELECT CAST(user_id AS VARCHAR) AS camera_id, lpad(CAST(event_id AS VARCHAR), 12, '0') AS id, ts, event_id FROM events WHERE event_type IN ('click', 'view')),
+WITH f AS (SELECT CAST(user_id AS VARCHAR) AS camera_id, lpad(CAST(event_id AS VARCHAR), 12, '0') AS id, ts, event_id FROM events WHERE event_type <> 'signup'),
 c AS (SELECT CAST(user_id AS VARCHAR) AS camera_id, lpad(CAST(event_id AS VARCHAR), 12, '0') AS cal_id, ts AS cal_at, event_id % 3 AS pos, event_id % 5 AS lk FROM events WHERE event_type = 'signup'),
 j AS (SELECT f.*, c.cal_id, c.cal_at, c.pos, c.lk FROM f ASOF LEFT JOIN c ON f.camera_id = c.camera_id AND f.ts >= c.cal_at)
 """
 
 
-@query("t10_focus_join", ASOF_SQL + "SELECT camera_id, id AS capture_id, cal_id FROM j WHERE cal_at >= ts - INTERVAL 1 DAY", domain=False)
+@query("t10_focus_join", ASOF_SQL + "SELECT camera_id, id AS capture_id, cal_id FROM j", domain=False)
 def t10(t):
-    joined = land(S.stream_focus_join(*focus_parts(stream_of(t), stream_of(t))), "append", "focus")
-    return S.nearest(joined.filter("cal_id is not null")).select("camera_id", "capture_id", "cal_id")
+    frames, cals = focus_parts(stream_of(t), stream_of(t))
+    stored = land(cals, "append", "calibrations").drop("_batch")
+    schema = StructType(frames.schema.fields).add("cal_id", "string")
+    rows = land(frames, "append", "focus", each=lambda batch, _: S.focus_join(batch, batch.sparkSession.read.schema(stored.schema).parquet(*stored.inputFiles())), schema=schema)
+    return rows.select("camera_id", "capture_id", "cal_id")
 
 
 @query("j09_asof_join", ASOF_SQL + "SELECT camera_id, id AS row_id, cal_id FROM j", domain=False)
@@ -185,7 +202,7 @@ def v23(t):
     base = lambda df: df.select(
         F.lpad(k.cast("string"), 12, "0").alias("id"), F.col("user_id").cast("string").alias("camera_id"), F.col("ts").cast("timestamp").alias("captured_at"), (k % 3).alias("focus_absolute"), "event_id"
     )
-    frames = base(e.filter("event_type in ('click', 'view')")).select(
+    frames = base(e.filter("event_type <> 'signup'")).select(
         F.col("id").alias("row_id"), "camera_id", "captured_at", F.when(k % 4 == 0, "auto").otherwise("locked").alias("focus_lock"), "focus_absolute", (k % 11 == 0).alias("simulated")
     )
     cals = base(e.filter("event_type = 'signup'")).select(

@@ -134,23 +134,6 @@ def g04(t):
     return K.clip_runs(runs(t), regions(t))[1]
 
 
-@query("g05_dish_regions")
-def g05(t):
-    """Region of each event's runs; checked against brute-force bitmaps in the tests."""
-    box = runs(t).groupBy("event_id").agg(F.min("x0").cast("double").alias("bx0"), F.max("x1").cast("double").alias("bx1"))
-    box = box.select("event_id", "bx0", F.lit(0.0).alias("by0"), "bx1", F.lit(8.0).alias("by1"), F.lit(128).alias("width_px"), F.lit(16).alias("height_px"))
-    df = M.dish_regions(runs(t), box)
-    return df.groupBy("event_id").agg(F.count("y").alias("runs"), F.max("region_px").alias("region_px"), F.max("reason").alias("reason"))
-
-
-@query("g06_reference_masks")
-def g06(t):
-    """Cleaned reference area per event; checked against brute-force bitmaps in the tests."""
-    box = runs(t).groupBy("event_id").agg(F.min("x0").cast("double").alias("bx0"), F.max("x1").cast("double").alias("bx1"))
-    box = box.select("event_id", "bx0", F.lit(0.0).alias("by0"), "bx1", F.lit(8.0).alias("by1"), F.lit(128).alias("width_px"), F.lit(16).alias("height_px"))
-    return M.reference_masks(runs(t), box)
-
-
 @query("g07_count_status", """
 WITH n AS (SELECT l_orderkey AS event_id, count(*) FILTER (l_linenumber < 3) AS counted, count(*) FILTER (l_linenumber IN (3, 4)) AS failed, count(*) FILTER (l_linenumber = 5) AS outside, bool_or(l_tax = 0.08) AS ambiguous FROM lineitem GROUP BY 1)
 SELECT event_id, CASE WHEN counted = 0 AND failed = 0 THEN 'empty' WHEN counted = 0 THEN 'unavailable' WHEN failed > 0 THEN 'partial' ELSE 'complete' END AS count_status,
@@ -222,13 +205,6 @@ def a28(t):
     return r4(K.label_mask_eval(r, q, F.lit(1024.0)), "frame_percent", "recall", "iou")
 
 
-@query("a28_hull_fill")
-def a28_hull(t):
-    """Hull fill per label; checked against brute-force bitmaps in the tests."""
-    r = runs(t).select("event_id", F.coalesce("item_id", F.lit("-")).alias("label"), "y", "x0", "x1")
-    return M.hull_fill(r, ["event_id", "label"], 128)
-
-
 def images(t, binary):
     """8 x 8 grey images from the 64 embedding components."""
     v = F.transform("embedding", lambda x: F.when(x > 0, 255).otherwise(0)) if binary else F.transform("embedding", lambda x: F.floor(F.abs(x.cast("double")) * 500 % 256).cast("int"))

@@ -70,14 +70,14 @@ def plain_text(s) -> Column:
     return F.trim(F.regexp_replace(t, r"\s{2,}", " "))
 
 
-def sanitize_text(s, max_len: int) -> Column:
-    """F-15: control characters and backticks to spaces, collapsed, cut at ``max_len``."""
+def sanitize_text(s, max_len: int | None = None) -> Column:
+    """F-15: control characters and backticks to spaces, collapsed, cut at ``max_len`` if one is given."""
     t = F.regexp_replace(as_col(s), r"[\x00-\x1f\x7f-\x9f`]", " ")
-    return F.substring(collapse(t), 1, max_len)
+    return collapse(t) if max_len is None else F.substring(collapse(t), 1, max_len)
 
 
 def cap_text(s, limit: int = 600) -> Column:
-    """F-16: collapsed text, cut with dots at the limit; empty text raises no error here but is null."""
+    """F-16: collapsed text, cut with dots at the limit (the cut is the function); empty text raises no error here but is null."""
     t = collapse(s)
     return F.when(F.length(t) == 0, F.lit(None).cast("string")).when(
         F.length(t) > limit, F.concat(F.substring(t, 1, limit - 3), F.lit("..."))

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from traymetrics.functions.geometry import max_plausible_area
 from traymetrics.functions.numbers import finite_nonneg, is_finite
 
 # fixed values
-MAX_REGIONS = 128
 DISH_TYPES = ["plate", "bowl", "other"]
 AREA_SEVERITY_FAILED = [
     "response_not_json",
@@ -60,83 +59,83 @@ def _first(reasons: Column) -> Column:
 def check_area_answers(answers: DataFrame, menu: DataFrame) -> DataFrame:
     """V-15: (answer rows) + severity and reason of the first broken rule; null when accepted.
 
-    ``answers`` has answer_id, menu_id, raw, geometry; ``menu`` has menu_id, item_id. Items meet the
-    menu in a join, so no answer needs its whole menu in one row.
+    ``answers`` has answer_id (unique), menu_id, raw, geometry; ``menu`` has menu_id, item_id. Every
+    listed item is one row with typed columns; duplicates are numbered in a window over (answer, item).
     """
     v = F.col("_v")
-    parsed = answers.withColumn("_v", F.try_parse_json("raw"))
-    lists = parsed.withColumns({"_items": items_of(v, "items"), "_unknown": items_of(v, "unknown")})
-    ids = F.transform("_items", lambda e: field(e, "itemId", "string"))
-    listed = lists.select("answer_id", "menu_id", F.posexplode(F.array_distinct(F.filter(ids, lambda i: i.isNotNull()))).alias("_p", "item_id"))
-    known = menu.select("menu_id", "item_id").distinct().withColumn("_k", F.lit(True))
-    foreign = (
-        listed.join(known, ["menu_id", "item_id"], "left")
-        .filter(F.col("_k").isNull())
-        .groupBy("answer_id")
-        .agg(F.collect_set("item_id").alias("_foreign"))  # a subset of one answer's own ids
-    )
-    df = lists.join(foreign, "answer_id", "left").withColumn("_foreign", F.coalesce("_foreign", F.array().cast("array<string>")))
-
-    def item_reason(e: Column, i: Column) -> Column:
-        item = field(e, "itemId", "string")
-        area, conf = field(e, "remainingAreaPx", "double"), field(e, "confidence", "double")
-        base = field(e, "estimatedUneatenAreaPx", "variant")
-        base_num = field(e, "estimatedUneatenAreaPx", "double")
-        string_id = F.coalesce(kind(field(e, "itemId", "variant")) == "STRING", F.lit(False))
-        return (
-            F.when(~is_object(e), F.lit("item_not_object"))
-            .when(~string_id | (item == ""), F.lit("item_missing_id"))
-            .when(F.array_contains("_foreign", item), F.lit("unknown_item_id_in_response"))
-            .when(F.array_position(ids, item) < i + 1, F.lit("duplicate_item_assignment"))
-            .when(~(is_number(field(e, "remainingAreaPx", "variant")) & finite_nonneg(area)), F.lit("invalid_remaining_area"))
-            .when(~(is_number(field(e, "confidence", "variant")) & is_finite(conf) & conf.between(0, 1)), F.lit("invalid_confidence"))
-            .when(
-                F.coalesce(kind(base) != "VOID", F.lit(False)) & ~(is_number(base) & finite_nonneg(base_num) & (base_num > 0)),
-                F.lit("invalid_estimated_baseline"),
-            )
-        )
-
-    def unknown_reason(e: Column) -> Column:
-        label = field(e, "label", "variant")
-        return (
-            F.when(~is_object(e), F.lit("unknown_not_object"))
-            .when(~F.coalesce((kind(label) == "STRING") & (F.trim(field(e, "label", "string")) != ""), F.lit(False)), F.lit("unknown_missing_label"))
-            .when(~(is_number(field(e, "remainingAreaPx", "variant")) & finite_nonneg(field(e, "remainingAreaPx", "double"))), F.lit("invalid_unknown_area"))
-        )
-
-    def total(name: str) -> Column:
-        return F.aggregate(F.transform(name, lambda e: field(e, "remainingAreaPx", "double")), F.lit(0.0), lambda a, x: a + F.coalesce(x, F.lit(0.0)))
-
-    def boolean(name: str) -> Column:
-        return F.coalesce(kind(field(v, name, "variant")) == "BOOLEAN", F.lit(False))
-
-    claimed = total("_items") + total("_unknown")
-    reason = (
+    boolean = lambda name: F.coalesce(kind(field(v, name, "variant")) == "BOOLEAN", F.lit(False))
+    parsed = answers.withColumn("_v", F.try_parse_json("raw")).withColumns({"_items": items_of(v, "items"), "_unknown": items_of(v, "unknown")})
+    shape = (
         F.when(v.isNull(), F.lit("response_not_json"))
         .when(outer_kind("raw") != "OBJECT", F.lit("response_not_object"))
         .when(~boolean("plateEmpty"), F.lit("missing_or_invalid_field:plateEmpty"))
         .when(~boolean("ambiguous"), F.lit("missing_or_invalid_field:ambiguous"))
         .when(F.col("_items").isNull(), F.lit("missing_or_invalid_field:items"))
         .when(F.col("_unknown").isNull(), F.lit("missing_or_invalid_field:unknown"))
-        .otherwise(
-            F.coalesce(
-                _first(F.transform("_items", item_reason)),
-                _first(F.transform("_unknown", unknown_reason)),
-                F.when(claimed > max_plausible_area("geometry"), F.lit("total_area_exceeds_plate")),
-                F.when(field(v, "plateEmpty", "boolean") & (claimed > 0), F.lit("empty_plate_with_nonzero_area")),
-            )
-        )
     )
-    return df.withColumn("reason", reason).withColumn(
-        "severity", F.when(F.col("reason").isNull(), F.lit(None).cast("string")).when(F.col("reason").isin(AREA_SEVERITY_FAILED), F.lit("failed")).otherwise(F.lit("needs_review"))
-    ).select(*answers.columns, "severity", "reason")
+    shaped = parsed.select(*answers.columns, shape.alias("_shape"), F.coalesce(field(v, "plateEmpty", "boolean"), F.lit(False)).alias("_empty"), "_items", "_unknown")
+    usable = shaped.filter(F.col("_shape").isNull())
+
+    e = F.col("_e")
+    area, conf, base = (field(e, n, "variant") for n in ("remainingAreaPx", "confidence", "estimatedUneatenAreaPx"))
+    number = lambda x, n: F.when(is_number(x), field(e, n, "double"))
+    items = usable.select("answer_id", "menu_id", F.posexplode("_items").alias("_pos", "_e")).select(
+        "answer_id",
+        "menu_id",
+        "_pos",
+        is_object(e).alias("_object"),
+        field(e, "itemId", "string").alias("item_id"),
+        F.coalesce(kind(field(e, "itemId", "variant")) == "STRING", F.lit(False)).alias("_text"),
+        number(area, "remainingAreaPx").alias("_area"),
+        field(e, "remainingAreaPx", "double").alias("_claimed"),
+        number(conf, "confidence").alias("_conf"),
+        F.coalesce(kind(base) != "VOID", F.lit(False)).alias("_has_base"),
+        number(base, "estimatedUneatenAreaPx").alias("_base"),
+    )
+    known = menu.select("menu_id", "item_id").distinct().withColumn("_known", F.lit(True))
+    again = F.row_number().over(Window.partitionBy("answer_id", "item_id").orderBy("_pos")) > 1
+    good = lambda ok: F.coalesce(ok, F.lit(False))
+    item_reason = (
+        F.when(~F.col("_object"), F.lit("item_not_object"))
+        .when(~F.col("_text") | (F.col("item_id") == ""), F.lit("item_missing_id"))
+        .when(F.col("_known").isNull(), F.lit("unknown_item_id_in_response"))
+        .when(F.col("_again"), F.lit("duplicate_item_assignment"))
+        .when(~good(finite_nonneg("_area")), F.lit("invalid_remaining_area"))
+        .when(~good(is_finite("_conf") & F.col("_conf").between(0, 1)), F.lit("invalid_confidence"))
+        .when(F.col("_has_base") & ~good(finite_nonneg("_base") & (F.col("_base") > 0)), F.lit("invalid_estimated_baseline"))
+    )
+    items = items.withColumn("_again", again).join(known, ["menu_id", "item_id"], "left").select("answer_id", F.lit(0).alias("_part"), "_pos", item_reason.alias("_why"), "_claimed")
+
+    label = field(e, "label", "variant")
+    unknown_reason = (
+        F.when(~is_object(e), F.lit("unknown_not_object"))
+        .when(~good((kind(label) == "STRING") & (F.trim(field(e, "label", "string")) != "")), F.lit("unknown_missing_label"))
+        .when(~good(is_number(area) & finite_nonneg(field(e, "remainingAreaPx", "double"))), F.lit("invalid_unknown_area"))
+    )
+    unknown = usable.select("answer_id", F.posexplode("_unknown").alias("_pos", "_e")).select(
+        "answer_id", F.lit(1).alias("_part"), "_pos", unknown_reason.alias("_why"), field(e, "remainingAreaPx", "double").alias("_claimed")
+    )
+    first = F.min(F.when(F.col("_why").isNotNull(), F.struct("_part", "_pos", "_why")))
+    judged = items.unionByName(unknown).groupBy("answer_id").agg(first["_why"].alias("_why"), F.sum("_claimed").alias("_total"))
+    claimed = F.coalesce("_total", F.lit(0.0))
+    reason = F.coalesce(
+        "_shape",
+        "_why",
+        F.when(claimed > max_plausible_area("geometry"), F.lit("total_area_exceeds_plate")),
+        F.when(F.col("_empty") & (claimed > 0), F.lit("empty_plate_with_nonzero_area")),
+    )
+    out = shaped.drop("_items", "_unknown").join(judged, "answer_id", "left").withColumn("reason", reason)
+    return out.withColumn("severity", F.when(F.col("reason").isNotNull(), F.when(F.col("reason").isin(AREA_SEVERITY_FAILED), F.lit("failed")).otherwise(F.lit("needs_review")))).select(
+        *answers.columns, "severity", "reason"
+    )
 
 
-def parse_box_answers(answers: DataFrame, menu: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+def parse_box_answers(answers: DataFrame, menu: DataFrame, max_pieces: int | None = None, label_chars: int | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """V-16: (pieces, dishes, rejects) of localization answers.
 
     ``answers`` has answer_id, menu_id, raw; ``menu`` has menu_id, number (1..N), item_id. An answer
-    with any out-of-range menu number is rejected as a whole.
+    with any out-of-range menu number is rejected as a whole, and so is one of more than
+    ``max_pieces`` pieces; labels are cut at ``label_chars``. Both limits are off unless given.
     """
     v = F.col("_v")
     df = answers.withColumn("_v", F.try_parse_json("raw")).withColumn("_kind", outer_kind("raw"))
@@ -145,13 +144,14 @@ def parse_box_answers(answers: DataFrame, menu: DataFrame) -> tuple[DataFrame, D
         F.when(v.isNull(), F.lit("invalid_json"))
         .when(~F.col("_kind").isin("ARRAY", "OBJECT"), F.lit("not_an_object"))
         .when(F.col("_pieces").isNull(), F.lit("pieces_not_an_array"))
-        .when(F.size("_pieces") > MAX_REGIONS, F.lit("too_many_regions"))
+        .when(F.size("_pieces") > F.lit(max_pieces), F.lit("too_many_regions"))
     )
     df = df.withColumn("_shape", shape)
     pieces = df.filter(F.col("_shape").isNull()).select("answer_id", "menu_id", F.posexplode("_pieces").alias("idx", "_e"))
     e = F.col("_e")
     number = field(e, "menu_id", "double")
-    label = F.substring(F.trim(F.regexp_replace(F.coalesce(field(e, "ingredient", "string"), F.lit("")), r"[\x00-\x1f]", " ")), 1, 80)
+    label = F.trim(F.regexp_replace(F.coalesce(field(e, "ingredient", "string"), F.lit("")), r"[\x00-\x1f]", " "))
+    label = label if label_chars is None else F.substring(label, 1, label_chars)
     pieces = pieces.select(
         "answer_id",
         "menu_id",

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from traymetrics.session import materialize
+
 # fixed values: factor rows the second restaurant table repeats under other names are passed by the caller
 
 
@@ -133,6 +136,31 @@ def record_analysis(attempts: DataFrame, measurements: DataFrame, stored_attempt
     return ok, rows, judged.filter(F.col("_why").isNotNull()).select("attempt_id", F.col("_why").alias("reason"))
 
 
+ANALYSIS_TABLES = ("food_measurement", "segmentation_region", "capture_count", "analysis_attempt")
+
+
+def append_analysis(root: str, attempts: DataFrame, measurements: DataFrame, regions: DataFrame, counts: DataFrame) -> DataFrame:
+    """SNK-4: append what the gate lets through to the tables under ``root``; returns the rejects.
+
+    ``attempts`` and ``measurements`` carry ``reason`` (null when fine); regions and counts belong to
+    attempts. Children are written before the attempts, which make them visible: an append that
+    breaks off leaves no attempt, and rows whose attempt is missing are not read through it.
+    """
+    spark = attempts.sparkSession
+    empty = attempts.select("attempt_id").limit(0)
+    try:
+        stored = spark.read.parquet(f"{root}/analysis_attempt").select("attempt_id")
+    except AnalysisException:  # nothing stored so far
+        stored = empty
+    ok, rows, rejects = record_analysis(attempts, measurements, stored)
+    ok, rejects = materialize(ok), materialize(rejects)
+    visible = ok.select("attempt_id")
+    children = (rows.drop("reason"), regions.join(visible, "attempt_id", "left_semi"), counts.join(visible, "attempt_id", "left_semi"))
+    for name, df in zip(ANALYSIS_TABLES, (*children, ok.drop("reason"))):
+        df.write.mode("append").parquet(f"{root}/{name}")
+    return rejects
+
+
 def delete_marked(tables: dict[str, DataFrame], keys: dict[str, str], markers: DataFrame, dependents: dict[str, tuple[str, str]] | None = None) -> dict[str, DataFrame]:
     """SNK-5: drop only rows listed in the markers (table_name, row_key), and rows that depend on them.
 

@@ -152,7 +152,7 @@ def provider_status(attempts: DataFrame, codes: list[str] | None = None) -> Data
         .join(last_ok, "provider")
         .filter(F.col("_ok_at").isNull() | (F.col("at") > F.col("_ok_at")))
     )
-    now = bad.groupBy("provider").agg(F.max_by("error_code", "at").alias("code"), F.count(F.lit(1)).alias("failures"))
+    now = bad.groupBy("provider").agg(F.max_by("error_code", F.struct("at", "error_code")).alias("code"), F.count(F.lit(1)).alias("failures"))
     other = bad.join(now.select("provider", "code"), "provider").filter(F.col("error_code") != F.col("code")).groupBy("provider").agg(F.max("at").alias("_other"))
     since = (
         bad.join(now.select("provider", "code"), "provider")

@@ -210,7 +210,7 @@ def localization_stats(answers: DataFrame, dishes: DataFrame) -> DataFrame:
     """G-11: boxes per pass, failed passes, and the IoU of the two passes' dish boxes (3 decimals).
 
     ``answers`` has event_id, pass, boxes (null when the pass failed); ``dishes`` has event_id, pass, box
-    (0-1000 order ymin, xmin, ymax, xmax), width_px, height_px.
+    (0-1000 order ymin, xmin, ymax, xmax), width_px, height_px; of several boxes of a pass the least counts.
     """
     from traymetrics.functions.numbers import js_round
 
@@ -221,7 +221,7 @@ def localization_stats(answers: DataFrame, dishes: DataFrame) -> DataFrame:
     )
     px = dishes.withColumn("_b", box_to_pixels(clamp_box("box"), "width_px", "height_px")).filter(F.col("_b.reason").isNull())
     pair = px.groupBy("event_id").agg(
-        F.max_by("_b", F.when(F.col("pass") == 1, F.lit(1))).alias("_b1"), F.max_by("_b", F.when(F.col("pass") == 2, F.lit(1))).alias("_b2")
+        F.min(F.when(F.col("pass") == 1, F.col("_b"))).alias("_b1"), F.min(F.when(F.col("pass") == 2, F.col("_b"))).alias("_b2")
     )
     both = F.col("_b1").isNotNull() & F.col("_b2").isNotNull()
     return per.join(pair, "event_id", "left").select(

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from traymetrics.session import materialize
 
 CHUNK, POS = "_chunk", "_pos"
+BROADCAST_ROWS = 100_000
 _POS_MASK = (1 << 33) - 1
 
 
@@ -68,7 +69,7 @@ def scan(chunks: DataFrame, keys: list[str], *specs: Last | Total) -> DataFrame:
 
     Inside a chunk they are plain windows. What earlier chunks of the same key hand over exists only
     for keys that cross a chunk border, so that table has fewer rows than there are chunks: it is
-    frozen and broadcast.
+    frozen, and broadcast once its size is checked.
     """
     df = chunks.withColumns({f"_v{i}": s.value for i, s in enumerate(specs)})
     summary, handed, local, final = [], [], {}, {}
@@ -87,11 +88,12 @@ def scan(chunks: DataFrame, keys: list[str], *specs: Last | Total) -> DataFrame:
             local[s.name] = F.sum(v).over(inside.rowsBetween(Window.unboundedPreceding, 0))
             final[s.name] = F.col(s.name) + F.coalesce(h, F.lit(0))
     some = functools.reduce(lambda a, b: a | b, [F.col(f"_h{i}").isNotNull() for i in range(len(specs))])
-    carried = df.groupBy(*keys, CHUNK).agg(*summary).select(*keys, CHUNK, *handed).filter(some)
-    carried = materialize(carried.coalesce(1))
+    carried = materialize(df.groupBy(*keys, CHUNK).agg(*summary).select(*keys, CHUNK, *handed).filter(some))
     on = functools.reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate([*keys, CHUNK])])
     renamed = carried.withColumnsRenamed({k: f"_k{i}" for i, k in enumerate([*keys, CHUNK])})
-    out = df.withColumns(local).join(F.broadcast(renamed), on, "left").withColumns(final)
+    # keys that lie together hand over once per chunk border; other keys may need more rows than fit a broadcast
+    renamed = F.broadcast(renamed) if carried.count() <= BROADCAST_ROWS else renamed
+    out = df.withColumns(local).join(renamed, on, "left").withColumns(final)
     return out.drop(*[f"_v{i}" for i in range(len(specs))], *[f"_h{i}" for i in range(len(specs))], *renamed.columns)
 
 

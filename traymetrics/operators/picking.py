@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from traymetrics.operators.ordering import global_rank
@@ -94,10 +94,11 @@ def rank_most_wasted(rows: DataFrame) -> DataFrame:
 
 def rank_foods(rows: DataFrame, metric: str, k: int | None = 8) -> DataFrame:
     """W-9: foods by a chosen metric; rows without it follow, in name order; first k shown."""
-    ranked = global_rank(
-        rows, F.col(metric).isNull(), F.col(metric).desc_nulls_last(), F.col("display_name"), F.coalesce("item_id", F.lit("")), F.col("group_key")
-    )
-    return ranked if k is None else ranked.filter(F.col("rank") <= k)
+    order = [F.col(metric).isNull(), F.col(metric).desc_nulls_last(), F.col("display_name"), F.coalesce("item_id", F.lit("")), F.col("group_key")]
+    if k is None:
+        return global_rank(rows, *order)
+    top = rows.orderBy(*order).limit(k)  # numbered over those k rows only
+    return top.withColumn("rank", F.row_number().over(Window.orderBy(*order)).cast("long"))
 
 
 def newest_page(df: DataFrame, limit: int, ts: str = "captured_at", key: str = "event_id") -> DataFrame:

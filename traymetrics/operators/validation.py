@@ -12,8 +12,7 @@ from traymetrics.functions.impact import CARBON_WEIGHT, WATER_WEIGHT
 from traymetrics.functions.numbers import as_col, finite_nonneg, finite_positive, is_finite, js_round
 from traymetrics.functions.text import collapse, item_id
 
-# fixed values: limits and allowed words
-MAX_NAME, MAX_CATEGORY, MAX_DESCRIPTION, MAX_ITEMS_PER_MEAL = 200, 100, 2000, 200
+# fixed values: allowed words and limits
 MEALS = ["breakfast", "lunch", "dinner"]
 REFERENCE_SOURCES = ["reference_photo", "manual_area", "gemini_estimate"]
 CALIBRATION_STATUSES = ["processing", "succeeded", "failed"]
@@ -47,33 +46,30 @@ def real_date(text) -> Column:
     return F.coalesce(c.rlike(DATE_PATTERN) & (F.date_format(d, "yyyy-MM-dd") == c), F.lit(False))
 
 
-def check_menu_items(df: DataFrame, key: list[str] | None = None) -> DataFrame:
+def check_menu_items(
+    df: DataFrame, key: list[str] | None = None, max_name: int | None = None, max_category: int | None = None, max_description: int | None = None, max_items: int | None = None
+) -> DataFrame:
     """V-5: clean text and reject empty, long, clashing or too many items of a meal.
 
-    Rows carry hall_id, service_date, meal_label, name, category, description.
+    Rows carry hall_id, service_date, meal_label, name, category, description. Lengths and the number
+    of items in a meal are only judged where a limit is given.
     """
     meal = key or ["hall_id", "service_date", "meal_label"]
     clean = df.withColumns({c: collapse(c) for c in ("name", "category", "description")})
     clean = clean.withColumn("item_id", item_id("hall_id", "service_date", "meal_label", "name"))
     per_item = clean.groupBy(*meal, "item_id").agg(F.count(F.lit(1)).alias("_same"))
-    per_meal = clean.groupBy(*meal).agg(F.count(F.lit(1)).alias("_meal_size"))
-    return (
-        clean.join(per_item, [*meal, "item_id"])
-        .join(per_meal, meal)
-        .withColumn(
-            "reason",
-            first_reason(
-                (~filled("name"), "name_empty"),
-                (F.length("name") > MAX_NAME, "name_too_long"),
-                (F.length("category") > MAX_CATEGORY, "category_too_long"),
-                (F.length("description") > MAX_DESCRIPTION, "description_too_long"),
-                (F.col("item_id").endswith("_"), "name_without_letters"),
-                (F.col("_same") > 1, "duplicate_item"),
-                (F.col("_meal_size") > MAX_ITEMS_PER_MEAL, "too_many_items"),
-            ),
-        )
-        .drop("_same", "_meal_size")
-    )
+    clean = clean.join(per_item, [*meal, "item_id"])
+    lengths = [("name", max_name), ("category", max_category), ("description", max_description)]
+    rules = [
+        (~filled("name"), "name_empty"),
+        *[(F.length(c) > limit, f"{c}_too_long") for c, limit in lengths if limit is not None],
+        (F.col("item_id").endswith("_"), "name_without_letters"),
+        (F.col("_same") > 1, "duplicate_item"),
+    ]
+    if max_items is not None:
+        clean = clean.join(clean.groupBy(*meal).agg(F.count(F.lit(1)).alias("_meal_size")), meal)
+        rules.append((F.col("_meal_size") > max_items, "too_many_items"))
+    return clean.withColumn("reason", first_reason(*rules)).drop("_same", "_meal_size")
 
 
 def check_service_key(df: DataFrame, zones: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -55,19 +56,47 @@ class Store:
         return J.counted_measurements(self.measurements, P.counted_attempts(self.attempts))
 
 
-def impact_dashboard(store: Store, start: str, end: str, hall: str | None = None) -> dict[str, DataFrame]:
-    """Q-1: totals, targets, most_wasted and coverage of a window."""
-    w = store.in_window(start, end, hall)
-    scored, caps = w.scored()
-    scored, caps = materialize(scored), materialize(caps)  # four results read them
-    foods = materialize(I.food_rows(scored, w.portions))
-    cover = I.coverage(foods).crossJoin(I.neighbor_captures(w.captures, w.attempts))  # one row each
-    return {
-        "totals": I.totals_by(scored, caps, []),
-        "targets": P.rank_targets(foods),
-        "most_wasted": P.rank_most_wasted(foods),
-        "coverage": cover,
-    }
+class Dashboard:
+    """Q-1: totals, targets, most_wasted and coverage; each is computed when it is asked for.
+
+    What several of them read, the scored rows and the food rows, is frozen by the first that does.
+    """
+
+    def __init__(self, window: Store):
+        self._window = window
+
+    @cached_property
+    def _rows(self) -> tuple[DataFrame, DataFrame]:
+        scored, caps = self._window.scored()
+        return materialize(scored), materialize(caps)
+
+    @cached_property
+    def _foods(self) -> DataFrame:
+        return materialize(I.food_rows(self._rows[0], self._window.portions))
+
+    @cached_property
+    def totals(self) -> DataFrame:
+        return I.totals_by(*self._rows, [])
+
+    @cached_property
+    def targets(self) -> DataFrame:
+        return P.rank_targets(self._foods)
+
+    @cached_property
+    def most_wasted(self) -> DataFrame:
+        return P.rank_most_wasted(self._foods)
+
+    @cached_property
+    def coverage(self) -> DataFrame:
+        return I.coverage(self._foods).crossJoin(I.neighbor_captures(self._window.captures, self._window.attempts))  # one row each
+
+    def __getitem__(self, name: str) -> DataFrame:
+        return getattr(self, name)
+
+
+def impact_dashboard(store: Store, start: str, end: str, hall: str | None = None) -> Dashboard:
+    """Q-1 of a window."""
+    return Dashboard(store.in_window(start, end, hall))
 
 
 def impact_daily(store: Store, start: str, end: str, hall: str | None = None, max_days: int | None = V.MAX_WINDOW_DAYS) -> DataFrame:
@@ -198,7 +227,7 @@ def recommendation(store: Store, start: str, end: str, hall: str | None = None)
     w = store.in_window(start, end, hall)
     scored, caps = w.scored()
     scored, caps = materialize(scored), materialize(caps)
-    foods = I.food_rows(scored, w.portions)
+    foods = materialize(I.food_rows(scored, w.portions))
     totals = I.totals_by(scored, caps, [])
     facts = materialize(A.top_facts(foods))  # at most sixteen rows
     return {

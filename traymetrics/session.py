@@ -7,8 +7,11 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
-def local_session(cpus: str = "8", partitions: int = 8) -> SparkSession:
-    """A local session for tests and the benchmark; clusters bring their own."""
+def local_session(cpus: str = "8", partitions: int = 8, scratch: str | None = None) -> SparkSession:
+    """A local session for tests and the benchmark; clusters bring their own.
+
+    ``scratch`` becomes ``spark.checkpoint.dir``; finished checkpoints in it are deleted.
+    """
     return (
         SparkSession.builder.master(f"local[{cpus}]")
         .appName("traymetrics")
@@ -17,6 +20,8 @@ def local_session(cpus: str = "8", partitions: int = 8) -> SparkSession:
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", "12g")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
+        .config(map={"spark.checkpoint.dir": scratch} if scratch else {})
         .getOrCreate()
     )
 
@@ -44,6 +49,13 @@ def scratch_path(spark: SparkSession, label: str) -> str:
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: freezes rows and their partitioning and survives executor loss."""
-    scratch_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Rows frozen as a table in the shared folder: computed once, lineage cut, safe from executor loss."""
+    path = scratch_path(df.sparkSession, "frozen")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete this application's intermediate tables; frames that read them can't be used afterwards."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(scratch_dir(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

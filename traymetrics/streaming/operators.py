@@ -12,6 +12,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import StructType
 
 from traymetrics.operators.frames import CLOSE_GRACE_MS, PREFILTER_MAD
+from traymetrics.operators.joins import asof_join
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 GROUP_EVENTS = "camera_id string, kind string, group_id string, capture_id string, late boolean, closed_by string, members long, late_members long, unsure_merges long, representative string, service_id string"
@@ -62,26 +63,42 @@ def stream_provider_outcomes(attempts: DataFrame, codes: list[str]) -> DataFrame
     ok = F.col("status") == "succeeded"
     bad = ~ok & F.col("error_code").isin(codes)
     df = attempts.groupBy("provider").agg(
-        F.max(F.when(ok, F.col("at"))).alias("last_success"), F.max(F.when(bad, F.col("at"))).alias("last_failure"), F.max_by("error_code", F.when(bad, F.col("at"))).alias("_code")
+        F.max(F.when(ok, F.col("at"))).alias("last_success"), F.max(F.when(bad, F.col("at"))).alias("last_failure"), F.max_by("error_code", F.when(bad, F.struct("at", "error_code"))).alias("_code")
     )
     down = F.col("last_failure").isNotNull() & (F.col("last_success").isNull() | (F.col("last_failure") > F.col("last_success")))
     return df.select("provider", F.coalesce(~down, F.lit(True)).alias("ok"), F.when(down, F.col("_code")).alias("code"), "last_success", "last_failure")
 
 
-def stream_focus_join(frames: DataFrame, calibrations: DataFrame, reach: str = "1 day", watermark: str = "1 hour") -> DataFrame:
-    """T-10: frames beside the calibration frames of the same camera in the time before them.
+def focus_join(batch: DataFrame, calibrations: DataFrame) -> DataFrame:
+    """T-10, for each batch of a frame stream: the newest stored calibration frame at or before every frame.
 
-    ``nearest`` then keeps the newest calibration of each frame.
+    ``calibrations`` is the table a second stream keeps; an older calibration frame counts however
+    far back it lies, and a frame without one stays with a null. No pairs are formed (J-9).
     """
-    f = frames.withWatermark("captured_at", watermark)
-    c = calibrations.select(F.col("camera_id").alias("_cam"), F.col("captured_at").alias("cal_at"), F.col("capture_id").alias("cal_id")).withWatermark("cal_at", watermark)
-    on = (F.col("camera_id") == F.col("_cam")) & (F.col("cal_at") <= F.col("captured_at")) & (F.col("cal_at") >= F.col("captured_at") - F.expr(f"INTERVAL {reach}"))
-    return f.join(c, on, "leftOuter").drop("_cam")
+    c = calibrations.select("camera_id", "captured_at", "capture_id", F.col("capture_id").alias("cal_id"))
+    hit = asof_join(batch.withColumnRenamed("capture_id", "row_id"), c, ["camera_id"], "captured_at", "capture_id", ["cal_id"])
+    return hit.select("camera_id", F.col("row_id").alias("capture_id"), "captured_at", "cal_id")
 
 
-def nearest(joined: DataFrame) -> DataFrame:
-    """T-10: the newest calibration per frame."""
-    return joined.groupBy("camera_id", "capture_id", "captured_at").agg(F.max_by("cal_id", F.struct("cal_at", "cal_id")).alias("cal_id"))
+def closed_groups(events: DataFrame) -> DataFrame:
+    """T-2: the closed groups of a landed event table; frames that joined after the close count as late."""
+    keys = ["camera_id", "group_id"]
+    joined = events.filter("kind = 'joined'").groupBy(*keys).agg(F.count_if("late").alias("late_members"), F.sum("unsure_merges").alias("unsure_merges"))
+    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    closed = events.filter("kind = 'closed'").select(*keys, "service_id", "members", "closed_by", "representative")
+    return closed.join(joined, keys, "left").select(*keys, "service_id", "members", zero("late_members"), zero("unsure_merges"), "closed_by", "representative")
+
+
+def ingest_attempts(batch: DataFrame, stored: DataFrame) -> DataFrame:
+    """T-5, for each batch: the attempts to add (event_id, at, row_id, ok).
+
+    A delivery of an event that has succeeded is a replay and adds nothing, neither after its success
+    in this batch nor in an earlier one; a failed event that comes again adds an attempt.
+    """
+    done = stored.filter("ok").select("event_id").distinct()
+    first_ok = batch.filter("ok").groupBy("event_id").agg(F.min(F.struct("at", "row_id")).alias("_ok"))
+    fresh = batch.join(done, "event_id", "left_anti").join(first_ok, "event_id", "left")
+    return fresh.filter(F.col("_ok").isNull() | (F.struct("at", "row_id") <= F.col("_ok"))).select("event_id", "at", "row_id", "ok")
 
 
 class DishGroups(StatefulProcessor):

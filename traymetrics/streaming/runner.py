@@ -2,27 +2,52 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from traymetrics.session import scratch_path
 
 
-def read_files(spark: SparkSession, path: str, schema) -> DataFrame:
+def read_files(spark: SparkSession, path: str, schema, files_per_batch: int | None = None) -> DataFrame:
     """A file or a folder of parquet files as a stream (a glob, so that a single file is allowed too)."""
-    return spark.readStream.schema(schema).parquet(f"{path[:-1]}[{path[-1]}]")
+    reader = spark.readStream.schema(schema)
+    if files_per_batch:
+        reader = reader.option("maxFilesPerTrigger", files_per_batch)
+    return reader.parquet(f"{path[:-1]}[{path[-1]}]")
+
+
+def write_in_turn(rows: DataFrame, at: Column, parts: int, label: str) -> str:
+    """A folder of files written one after another in the order of ``at`` (numbers), for replays."""
+    cuts = rows.agg(F.percentile_approx(at, [k / parts for k in range(1, parts)], 10_000)).first()[0] or []
+    path = scratch_path(rows.sparkSession, label)
+    rows = rows.withColumn("_part", sum(((at > c).cast("int") for c in sorted(set(cuts))), F.lit(0)))
+    for k in range(len(set(cuts)) + 1):
+        rows.filter(F.col("_part") == k).drop("_part").coalesce(1).write.mode("append").parquet(path)
+    return path
 
 
-def land(stream: DataFrame, mode: str = "append", label: str = "stream", state_store: str | None = None) -> DataFrame:
+def land(
+    stream: DataFrame, mode: str = "append", label: str = "stream", state_store: str | None = None, each: Callable[[DataFrame, DataFrame | None], DataFrame] | None = None, schema: StructType | None = None
+) -> DataFrame:
     """Drain a stream with availableNow and return what it wrote, with ``_batch``.
 
-    Every micro-batch overwrites its own folder, so a replayed batch leaves no duplicates.
+    Every micro-batch overwrites its own folder, so a replayed batch leaves no duplicates. ``each``
+    turns a batch and the rows of the batches before it into the rows to write, of ``schema``.
     """
     spark = stream.sparkSession
     root = scratch_path(spark, label)
     table = f"{root}/rows"
+    schema = schema or stream.schema
 
     def write(batch: DataFrame, batch_id: int) -> None:
+        if each is not None:
+            session = batch.sparkSession
+            have = [f"{table}/_batch={k}" for k in range(batch_id)]
+            before = session.read.schema(schema).parquet(*have) if have else session.createDataFrame([], schema)
+            batch = each(batch, before)
         batch.write.mode("overwrite").parquet(f"{table}/_batch={batch_id}")
 
     key = "spark.sql.streaming.stateStore.providerClass"
@@ -34,7 +59,7 @@ def land(stream: DataFrame, mode: str = "append", label: str = "stream", state_s
         q.awaitTermination()
     finally:
         spark.conf.set(key, before)
-    return spark.read.schema(stream.schema.add("_batch", "long")).parquet(table)
+    return spark.read.schema(StructType(schema.fields).add("_batch", "long")).parquet(table)
 
 
 def latest_update(rows: DataFrame, keys: list[str]) -> DataFrame:

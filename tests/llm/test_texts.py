@@ -4,6 +4,7 @@ import hashlib
 import random
 from collections import Counter
 
+import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
@@ -31,7 +32,7 @@ def test_replay_equals_the_library(tokenizer):
     texts = ["", " " * 3000, "a" * 3000, "ab" * 2000, "\u0000 x"] + ["".join(rnd.choice(letters) for _ in range(rnd.randint(0, 90))) for _ in range(800)]
     texts += [bytes(rnd.randint(0, 255) for _ in range(60)).decode("latin1") for _ in range(200)]
     for text, ids in zip(texts, codec.encode(texts)):
-        assert list(ids) == tokenizer.encode_ordinary(text)
+        assert np.frombuffer(ids, "<u4").tolist() == tokenizer.encode_ordinary(text)
         assert codec.decode(ids) == text.encode()
 
 
@@ -40,7 +41,7 @@ def test_lower_rank_after_a_merge_goes_first():
     codec = bpe.Codec(ranks, r"\S+")
     own = tiktoken.Encoding("t", pat_str=r"\S+", mergeable_ranks=ranks, special_tokens={})
     for text in ("abcab", "abcabcab", "cababcaab", "abcaabca"):
-        assert list(codec.encode([text])[0]) == own.encode_ordinary(text)
+        assert np.frombuffer(codec.encode([text])[0], "<u4").tolist() == own.encode_ordinary(text)
 
 
 def test_encode_and_decode_tables(spark, tokenizer):
@@ -117,10 +118,10 @@ def test_boosted_trees_add_what_looks_right(spark):
         total = sum(d if k % 2 else d * 2 - 9 * (d > 4) for k, d in enumerate(digits))
         return "".join(map(str, digits)) + str((-total + (not valid) * rnd.randint(1, 9)) % 10)
 
-    texts = [f"please charge my card {card(True)}, thanks" for _ in range(300)] + [f"order no {rnd.randint(10**12, 10**13 - 1)}x" for _ in range(900)] + [f"please charge my card {card(False)}, thanks" for _ in range(3)]
+    texts = [f"please charge my card {card(True)}, thanks" for _ in range(900)] + [f"order no {rnd.randint(10**12, 10**13 - 1)}x" for _ in range(900)] + [f"please charge my card {card(False)}, thanks" for _ in range(3)]
     out = pii.find_pii(plain.documents(spark, [(k, t, None, None, None) for k, t in enumerate(texts)])).orderBy("doc_id").collect()
-    assert all([s["base"] for s in r["spans"]] == [False] for r in out[1200:])  # a slip in the check digit
-    loose = sum(not s["base"] for r in out[300:1200] for s in r["spans"])
+    assert all([s["base"] for s in r["spans"]] == [False] for r in out[1800:])  # a slip in the check digit
+    loose = sum(not s["base"] for r in out[900:1800] for s in r["spans"])
     assert loose <= 18  # the threshold was set for few false spans
 
 

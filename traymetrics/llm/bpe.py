@@ -11,11 +11,10 @@ from __future__ import annotations
 
 import base64
 import hashlib
-from array import array
 from collections.abc import Iterator
 from heapq import heapify, heappop, heappush
-from itertools import chain
 
+import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import regex
@@ -26,7 +25,7 @@ from traymetrics.llm.common import query, table
 from traymetrics.llm.rolling import slices
 
 RANK_FILE = "byte_bpe_multi_50k.tiktoken"
-CACHED_WORDS = 300_000  # words a Python worker remembers; only speed depends on it
+CACHED_WORDS = 500_000  # words a Python worker remembers (about 100 MB); only speed depends on it
 CACHED_LENGTH = 64
 _SHIFT = 24  # ids are below 2**24
 
@@ -43,34 +42,43 @@ class Codec:
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.ranks, self.split = ranks, regex.compile(pattern).findall
         self.tokens = {r: t for t, r in ranks.items()}
-        self.letters = [ranks.get(bytes([b])) for b in range(256)]
+        self.letters = np.array([ranks[bytes([b])] for b in range(256)])
+        self.byte_pairs = np.array([[ranks.get(bytes([a, b]), -1) for b in range(256)] for a in range(256)])
         self.pairs: dict[int, int] = {}
         for token, rank in ranks.items():
             for k in range(1, len(token)):
                 a, b = ranks.get(token[:k]), ranks.get(token[k:])
                 if a is not None and b is not None:
                     self.pairs[a << _SHIFT | b] = rank
-        self.known: dict[str, tuple[int, ...]] = {}
-
-    def replay(self, words: list[bytes]) -> list[tuple[int, ...]]:
-        """Ids of each word, all merges replayed together in rank order."""
-        symbols: list[int] = []
-        after: list[int] = []
-        heads = []
-        for word in words:
-            heads.append(at := len(symbols))
-            symbols.extend(map(self.letters.__getitem__, word))
-            after.extend(range(at + 1, at + len(word) + 1))
-            after[-1] = -1
-        before = [-1] * len(symbols)
-        index: dict[int, list[int]] = {}
+        self.known: dict[str, bytes] = {}
+
+    def replay(self, words: list[bytes]) -> list[bytes]:
+        """Ids of each word (packed, four bytes each), all merges replayed together in rank order."""
+        if not words:
+            return []
+        data = np.frombuffer(b"".join(words), np.uint8)
+        n = len(data)
+        ends = np.cumsum([len(w) for w in words])
+        after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
+        after[ends - 1] = -1
+        before[ends[:-1]] = -1
+        # the index of the bytes' own pairs: places sorted by rank
+        rank = np.where(after >= 0, self.byte_pairs[data, data[np.maximum(after, 0)]], -1)
+        places_by_rank = np.argsort(rank, kind="stable")
+        found, starts = np.unique(rank[places_by_rank], return_index=True)
+        index = {r: p.tolist() for r, p in zip(found.tolist(), np.split(places_by_rank, starts[1:]))}
+        index.pop(-1, None)
+        symbols, after, before = self.letters[data].tolist(), after.tolist(), before.tolist()
+        self._merge(symbols, after, before, index)
+        ids = np.array(symbols)
+        alive = ids >= 0
+        packed = ids[alive].astype("<u4").tobytes()
+        stops = (4 * np.cumsum(alive)[ends - 1]).tolist()
+        return [packed[x:y] for x, y in zip([0, *stops], stops)]
+
+    def _merge(self, symbols: list[int], after: list[int], before: list[int], index: dict[int, list[int]]) -> None:
+        """Apply every merge; a symbol that was merged into its left neighbour becomes -1."""
         rank_of = self.pairs.get
-        for i, j in enumerate(after):
-            if j >= 0:
-                before[j] = i
-                rank = rank_of(symbols[i] << _SHIFT | symbols[j])
-                if rank is not None:
-                    index.setdefault(rank, []).append(i)
         order = list(index)
         heapify(order)
         while order:
@@ -85,33 +93,34 @@ class Codec:
                     continue  # an earlier merge took one of the two
                 k, p, least = after[j], before[i], rank
                 symbols[i], symbols[j], after[i] = rank, -1, k
-                for left, right, place in ((p, i, p), (i, k, i)):
-                    if left >= 0 and right >= 0:
-                        new = rank_of(symbols[left] << _SHIFT | symbols[right])
-                        if new is not None:
-                            least = min(least, new)
-                            if new in index:
-                                index[new].append(place)
-                            else:
-                                index[new] = [place]
-                                heappush(order, new)
+                if p >= 0:
+                    new = rank_of(symbols[p] << _SHIFT | rank)
+                    if new is not None:
+                        if new < least:
+                            least = new
+                        if new in index:
+                            index[new].append(p)
+                        else:
+                            index[new] = [p]
+                            heappush(order, new)
                 if k >= 0:
                     before[k] = i
+                    new = rank_of(rank << _SHIFT | symbols[k])
+                    if new is not None:
+                        if new < least:
+                            least = new
+                        if new in index:
+                            index[new].append(i)
+                        else:
+                            index[new] = [i]
+                            heappush(order, new)
                 if least < rank:  # a lower rank appeared: it goes first, the other places wait
                     index[rank] = places[done:]
                     heappush(order, rank)
                     break
-        out = []
-        for i in heads:
-            ids = []
-            while i >= 0:
-                ids.append(symbols[i])
-                i = after[i]
-            out.append(tuple(ids))
-        return out
 
-    def encode(self, texts: list[str]) -> list[array]:
-        """Ids of each text."""
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text, packed in four bytes each (little-endian)."""
         if len(self.known) > CACHED_WORDS:
             self.known.clear()
         known, split = self.known, self.split
@@ -124,16 +133,16 @@ class Codec:
             if rank is None:
                 todo.append((w, raw))
             else:
-                known[w] = (rank,)
+                known[w] = rank.to_bytes(4, "little")
         known.update(zip((w for w, _ in todo), self.replay([raw for _, raw in todo])))
-        out = [array("I", chain.from_iterable(map(known.__getitem__, p))) for p in parts]
+        out = [b"".join(map(known.__getitem__, p)) for p in parts]
         for w in new:
             if len(w) > CACHED_LENGTH:
                 del known[w]
         return out
 
-    def decode(self, ids) -> bytes:
-        return b"".join(map(self.tokens.__getitem__, ids))
+    def decode(self, packed: bytes) -> bytes:
+        return b"".join(map(self.tokens.__getitem__, np.frombuffer(packed, "<u4").tolist()))
 
 
 _codecs: dict[str, Codec] = {}
@@ -155,23 +164,30 @@ def _texts(batch: pa.RecordBatch, column: str) -> Iterator[tuple[int, int, list[
         yield lo, hi, [t or "" for t in values.slice(lo, hi - lo).to_pylist()]
 
 
-def encode(docs: DataFrame, ranks_path: str | None = None, pattern: str = public_tokenizers.PATTERN, text: str = "text", ids: str = "ids") -> DataFrame:
+def encode(docs: DataFrame, ranks_path: str | None = None, pattern: str = public_tokenizers.PATTERN, text: str = "text", ids: str = "ids", checked: str | None = None) -> DataFrame:
     """``docs`` with a column ``ids`` (array of int): the ids of the text, null counting as empty.
 
     A column of that name in ``docs`` is replaced. No special tokens; one text may have any length.
+    ``checked`` names a further column: whether the ids decode to the text's bytes.
     """
     shared = docs.sparkSession.sparkContext.broadcast(read_ranks(ranks_path or public_tokenizers.path(RANK_FILE)))
-    docs = docs.drop(ids)
+    added = {ids: F.lit(None).cast("array<int>")} | ({checked: F.lit(None).cast("boolean")} if checked else {})
+    docs, names = docs.drop(*added), list(added)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(shared, pattern)
         for batch in batches:
             for lo, hi, texts in _texts(batch, text):
                 rows = batch.slice(lo, hi - lo)
-                column = pa.array([memoryview(a) for a in codec.encode(texts)], pa.list_(pa.int32()))
-                yield pa.RecordBatch.from_arrays([*rows.columns, column], [*rows.schema.names, ids])
+                coded = codec.encode(texts)
+                offsets = np.concatenate([[0], np.cumsum([len(a) // 4 for a in coded])]).astype(np.int32)
+                column = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(coded), "<i4")))
+                columns = [*rows.columns, column]
+                if checked:
+                    columns.append(pa.array([codec.decode(a) == t.encode() for a, t in zip(coded, texts)], pa.bool_()))
+                yield pa.RecordBatch.from_arrays(columns, [*rows.schema.names, *names])
 
-    return docs.mapInArrow(task, docs.select("*", F.lit(None).cast("array<int>").alias(ids)).schema)
+    return docs.mapInArrow(task, docs.withColumns(added).schema)
 
 
 def decode(coded: DataFrame, ranks_path: str | None = None, ids: str = "ids", out: str = "decoded") -> DataFrame:
@@ -201,8 +217,8 @@ def round_trip(docs: DataFrame, ranks_path: str | None = None, pattern: str = pu
                 coded = codec.encode(texts)
                 columns = [
                     batch.column(0).slice(lo, hi - lo),
-                    pa.array(map(len, coded), pa.int64()),
-                    pa.array([hashlib.sha256(a.tobytes()).hexdigest() for a in coded], pa.string()),
+                    pa.array([len(a) // 4 for a in coded], pa.int64()),
+                    pa.array([hashlib.sha256(a).hexdigest() for a in coded], pa.string()),
                     pa.array([hashlib.sha256(codec.decode(a)).hexdigest() for a in coded], pa.string()),
                 ]
                 yield pa.RecordBatch.from_arrays(columns, [key, "n_tokens", "ids_sha256", "decoded_sha256"])

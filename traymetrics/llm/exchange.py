@@ -14,7 +14,8 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+
+from traymetrics.llm.rolling import mix
 
 STRETCH = 2_000_000  # keys gathered before they are packed
 BUCKET_KEYS = 1_500_000  # keys a bucket is meant to hold
@@ -139,8 +140,8 @@ class _Stretch:
             yield _rows(aside, d, ids, answered, answered[:0], aside[:0])
 
 
-def _answers(rows: pa.Table, width: int, need_mark: bool) -> pa.Table:
-    """(doc_id, keys) for the repeated keys of one bucket."""
+def _answers(rows: pa.Table, width: int, need_mark: bool, count: int) -> pa.Table:
+    """The repeated keys of one bucket, packed for each of ``count`` parts of the documents."""
     columns = [rows.column(c).to_pylist() for c in ("docs", "counts", "keys", "shared")]
     if rows.column("bucket")[0].as_py() < 0:
         first = second = None
@@ -166,18 +167,42 @@ def _answers(rows: pa.Table, width: int, need_mark: bool) -> pa.Table:
         ids.append(np.frombuffer(docs, np.int64)[some])
         sizes.append(per_doc[some])
         parts.append(packed[mine].tobytes())
-    data = b"".join(parts)
-    sizes = np.concatenate(sizes) if sizes else np.zeros(0, np.int64)
-    offsets = np.concatenate([[0], np.cumsum(sizes * width)]).astype(np.int32)
-    column = pa.BinaryArray.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
-    return pa.table({"doc_id": pa.array(np.concatenate(ids) if ids else [], pa.int64()), "keys": column})
+    docs, sizes = _flat(ids, np.int64), _flat(sizes, np.int64)
+    keys = np.frombuffer(b"".join(parts), np.uint8).reshape(-1, width)
+    part = (mix(docs.astype(np.uint64)) % np.uint64(count)).astype(np.int64)
+    order = np.argsort(part, kind="stable")
+    keys = keys[np.argsort(np.repeat(part, sizes), kind="stable")]
+    docs, sizes, part = docs[order], sizes[order], part[order]
+    out: list[list] = [[], [], [], []]
+    ends = np.concatenate([[0], np.cumsum(sizes)])
+    for p in np.unique(part):
+        lo, hi = np.searchsorted(part, [p, p + 1])
+        for column, value in zip(out, (int(p), docs[lo:hi].tobytes(), sizes[lo:hi].tobytes(), keys[ends[lo] : ends[hi]].tobytes())):
+            column.append(value)
+    return pa.table([pa.array(c, k) for c, k in zip(out, [pa.int32(), *[pa.binary()] * 3])], ["part", "docs", "counts", "keys"])
+
+
+def _flat(arrays: list[np.ndarray], kind) -> np.ndarray:
+    return np.concatenate(arrays) if arrays else np.zeros(0, kind)
+
+
+def _documents(rows: pa.Table, width: int) -> pa.Table:
+    """(doc_id, keys), one row for each document of a part."""
+    docs, counts = (np.frombuffer(b"".join(rows.column(c).to_pylist()), np.int64) for c in ("docs", "counts"))
+    keys = np.frombuffer(b"".join(rows.column("keys").to_pylist()), np.uint8).reshape(-1, width)
+    ids, which = np.unique(docs, return_inverse=True)
+    keys = keys[np.argsort(np.repeat(which, counts), kind="stable")]
+    sizes = np.bincount(which, weights=counts, minlength=len(ids)).astype(np.int64) * width
+    offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+    column = pa.BinaryArray.from_buffers(pa.binary(), len(ids), [None, pa.py_buffer(offsets), pa.py_buffer(keys.tobytes())])
+    return pa.table({"doc_id": pa.array(ids, pa.int64()), "keys": column})
 
 
 Keys = tuple[np.ndarray, np.ndarray, np.ndarray, "np.ndarray | None", "np.ndarray | None"]
 
 
 def repeated_keys(docs: DataFrame, keys_of: Callable[[pa.RecordBatch], Iterator[Keys]], width: int, keys: int, once_per_doc: bool = False, need_mark: bool = False) -> DataFrame:
-    """(doc_id, keys): for each document packed keys that occur again, over one or more rows.
+    """(doc_id, keys): for each document that has some, its packed keys that occur again.
 
     ``keys_of`` gives (doc ids, index into them for each key, first words, second words, marks) of
     pieces of a batch. ``keys`` is about how many there are. ``once_per_doc`` counts documents
@@ -196,18 +221,13 @@ def repeated_keys(docs: DataFrame, keys_of: Callable[[pa.RecordBatch], Iterator[
         yield from stretch.flush()
 
     packed = docs.mapInArrow(task, _PACKED)
-    return packed.groupBy("bucket").applyInArrow(lambda rows: _answers(rows, width, need_mark), "doc_id long, keys binary")
-
-
-def by_document(answers: DataFrame) -> DataFrame:
-    """(doc_id, keys) with the packed keys of a document in one list."""
-    return answers.groupBy("doc_id").agg(F.collect_list("keys").alias("keys"))
+    answers = packed.groupBy("bucket").applyInArrow(lambda rows: _answers(rows, width, need_mark, buckets), "part int, docs binary, counts binary, keys binary")
+    return answers.groupBy("part").applyInArrow(lambda rows: _documents(rows, width), "doc_id long, keys binary")
 
 
 def known_keys(column: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray | None]:
-    """All keys in a column of lists of packed keys, sorted by first word, flags cleared."""
-    flat = column.flatten()
-    first, second = unpack(b"".join(x for x in flat.to_pylist() if x), width)
+    """All keys in a column of packed keys, sorted by first word, flags cleared."""
+    first, second = unpack(b"".join(x for x in column.to_pylist() if x), width)
     first &= ~np.uint64(3)
     order = np.argsort(first) if second is None else np.lexsort((second, first))
     return first[order], None if second is None else second[order]

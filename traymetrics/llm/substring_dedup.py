@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from traymetrics.llm.common import back_to_null, id_or_null, land, query, table
-from traymetrics.llm.exchange import among, by_document, known_keys, repeated_keys, trim
+from traymetrics.llm.exchange import among, known_keys, repeated_keys, trim
 from traymetrics.llm.rolling import covered, gram_hashes, mix, per_word, slices, span_hashes, words
 
 WINDOW = 35
@@ -68,7 +68,7 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, key: str = "doc_id",
             yield _ids(batch, lo, hi), s.row[at], gram_hashes(s.hashes, block)[at], None, is_block
 
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    hits = land(by_document(repeated_keys(docs, probes, PROBE_BYTES, total // 6, need_mark=True)), "hits")
+    hits = land(repeated_keys(docs, probes, PROBE_BYTES, total // 6, need_mark=True), "hits")
 
     def extended(batch):
         for lo, hi, buf, bounds in slices(batch.column(1)):
@@ -81,7 +81,7 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, key: str = "doc_id",
             yield _ids(batch, lo, hi), s.row[places], *s.exact(places, window), None
 
     found = docs.join(hits, "doc_id").select("doc_id", "text", "keys")
-    repeats = land(by_document(repeated_keys(found, extended, EXACT_BYTES, total // 12)), "repeats")
+    repeats = land(repeated_keys(found, extended, EXACT_BYTES, total // 12), "repeats")
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

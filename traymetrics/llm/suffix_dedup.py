@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from traymetrics.llm.common import back_to_null, drop_landed, id_or_null, land, query, table
-from traymetrics.llm.exchange import among, by_document, known_keys, repeated_keys, trim
+from traymetrics.llm.exchange import among, known_keys, repeated_keys, trim
 from traymetrics.llm.rolling import SLICE_BYTES, byte_gram_hashes, slices, sliding_min
 
 WINDOW = 50
@@ -31,6 +31,7 @@ K = 24  # bytes of an anchor
 ANCHOR_BYTES = 5  # of an anchor's hash that travel; a false match only costs a comparison
 PLACE_BITS = 21  # a piece of text has fewer bytes
 BUCKET_BYTES = 2 << 20  # of segments sorted at once
+BROADCAST_COPIES = 500_000  # ids of whole copies (16 bytes each) up to which they are broadcast; more are joined by shuffle
 HOT_ANCHOR = 8192  # segments; an anchor with more is resolved window by window
 
 
@@ -145,6 +146,13 @@ def _hot_earlier(hot: DataFrame, window: int) -> DataFrame:
     return back.groupBy("anchor", "content").agg(F.collect_list(F.struct("at", F.lit(1).alias("n"), "doc")).alias("spans"))
 
 
+def _later_copies(docs: DataFrame) -> DataFrame:
+    """(doc_id, tag, size) of the documents whose whole text a smaller doc_id has."""
+    rows = land(docs.select("doc_id", "tag", F.octet_length("text").cast("long").alias("size"), F.sha2("text", 256).alias("sha")), "digests")
+    first = rows.groupBy("sha").agg(F.min("doc_id").alias("least"))
+    return land(rows.join(first, "sha").filter("doc_id > least").select("doc_id", "tag", "size").distinct(), "copies")
+
+
 def suffix_dedup(docs: DataFrame, window: int = WINDOW, k: int = K, key: str = "doc_id", text: str = "text", hot_anchor: int = HOT_ANCHOR) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_bytes, spans (start, end, removed runs of bytes), kept (binary).
 
@@ -154,6 +162,9 @@ def suffix_dedup(docs: DataFrame, window: int = WINDOW, k: int = K, key: str = "
     """
     value = F.coalesce(F.col(text), F.lit(""))
     docs = docs.select(id_or_null(key).alias("doc_id"), value.alias("text"), F.xxhash64(value).alias("tag"))
+    copies = _later_copies(docs)
+    some = copies.select("doc_id", "tag")
+    sources = docs.join(F.broadcast(some) if copies.count() <= BROADCAST_COPIES else some, ["doc_id", "tag"], "left_anti").select("doc_id", "text", "tag")
 
     def anchors(batch):
         ids = batch.column(0)
@@ -162,7 +173,7 @@ def suffix_dedup(docs: DataFrame, window: int = WINDOW, k: int = K, key: str = "
             yield ids.slice(lo, hi - lo).to_numpy(), row, anchor, None, None
 
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    hits = land(by_document(repeated_keys(docs, anchors, ANCHOR_BYTES, total * 2 // (window - k + 1), once_per_doc=True)), "hits")
+    hits = land(repeated_keys(sources, anchors, ANCHOR_BYTES, total * 2 // (window - k + 1), once_per_doc=True), "hits")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -174,31 +185,38 @@ def suffix_dedup(docs: DataFrame, window: int = WINDOW, k: int = K, key: str = "
                 data, offsets = _gather(buf, start, count + window - 1)
                 text_column = pa.BinaryArray.from_buffers(pa.binary(), len(row), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(data)])
                 take = pa.array(row + lo)
-                columns = [batch.column(0).take(take), batch.column(2).take(take), pa.array(start - bounds[row] + base), pa.array(anchor.view(np.int64)), text_column]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "tag", "start", "anchor", "segment"])
+                columns = [batch.column(0).take(take), batch.column(2).take(take), pa.array(start - bounds[row] + base), pa.array(count.astype(np.int32)), pa.array(anchor.view(np.int64)), text_column]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "tag", "start", "n", "anchor", "segment"])
 
-    found = docs.join(hits, "doc_id").select("doc_id", "text", "tag", "keys")
-    cuts = found.mapInArrow(cut, "doc_id long, tag long, start long, anchor long, segment binary")
+    found = sources.join(hits, "doc_id").select("doc_id", "text", "tag", "keys")
+    cuts = found.mapInArrow(cut, "doc_id long, tag long, start long, n int, anchor long, segment binary")
     cuts = land(cuts.withColumn("content", F.xxhash64("segment")), "segments")
 
-    distinct = cuts.groupBy("anchor", "content", "segment").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"))
-    distinct = land(distinct, "distinct")
-    sizes = distinct.groupBy("anchor").agg(F.count(F.lit(1)).alias("c"), F.max("most").alias("most"), F.min("least").alias("least"))
-    sizes = land(sizes.filter("least < most").select("anchor", (F.col("c") > hot_anchor).alias("hot")), "anchors")
-    shared = distinct.join(sizes, "anchor")
-    bucket = F.pmod(F.xxhash64("anchor"), F.lit(max(1, distinct.agg(F.sum(F.octet_length("segment"))).first()[0] // BUCKET_BYTES if not distinct.isEmpty() else 1)))
-    earlier = shared.filter("NOT hot").withColumn("bucket", bucket).groupBy("bucket").applyInArrow(lambda rows: _earlier(rows, window), _EARLIER)
-    hot = sizes.filter("hot")
+    # a segment is named by the hashes of its anchor and of its text, 128 bits
+    distinct = land(cuts.groupBy("anchor", "content").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.max("n").alias("n")), "distinct")
+    sizes = distinct.groupBy("anchor").agg(F.count(F.lit(1)).alias("c"), F.max("most").alias("_most"), F.min("least").alias("_least"))
+    sizes = land(sizes.filter("_least < _most").select("anchor", "c"), "anchors")
+    # all documents have the same segment around the anchor: no text is needed
+    whole = F.array(F.struct(F.lit(0).alias("at"), F.col("n"), F.col("least").alias("doc")))
+    earlier = distinct.join(sizes.filter("c = 1"), "anchor").select("anchor", "content", whole.alias("spans"))
+    several = distinct.drop("n").join(sizes.filter("c > 1"), "anchor")
+    texts = cuts.select("anchor", "content", F.col("doc_id").alias("least"), "segment").join(several, ["anchor", "content", "least"])
+    texts = land(texts.groupBy("anchor", "content").agg(F.first("segment").alias("segment"), F.first("least").alias("least"), F.first("most").alias("most"), F.first("c").alias("c")), "texts")
+    size = texts.agg(F.sum(F.octet_length("segment"))).first()[0] or 0
+    bucket = F.pmod(F.xxhash64("anchor"), F.lit(size // BUCKET_BYTES + 1))
+    earlier = earlier.union(texts.filter(F.col("c") <= hot_anchor).withColumn("bucket", bucket).groupBy("bucket").applyInArrow(lambda rows: _earlier(rows, window), _EARLIER))
+    hot = texts.filter(F.col("c") > hot_anchor)
     if not hot.isEmpty():
-        earlier = earlier.union(_hot_earlier(shared.filter("hot"), window))
+        earlier = earlier.union(_hot_earlier(hot, window))
     earlier = land(earlier, "earlier")
-    drop_landed(distinct, sizes)
+    drop_landed(distinct, sizes, texts)
 
     placed = cuts.select("doc_id", "tag", "start", "anchor", "content").join(earlier, ["anchor", "content"])
     spans = placed.select("doc_id", "tag", "start", F.explode("spans").alias("s")).filter("s.doc < doc_id")
     from_, to = F.col("start") + F.col("s.at"), F.col("start") + F.col("s.at") + F.col("s.n") + (window - 1)
     gone = spans.groupBy("doc_id", "tag").agg(F.collect_list(F.struct(from_.cast("long").alias("a"), to.cast("long").alias("b"))).alias("gone"))
-    gone = land(gone, "gone")
+    copied = copies.filter(F.col("size") >= window).select("doc_id", "tag", F.array(F.struct(F.lit(0).cast("long").alias("a"), F.col("size").alias("b"))).alias("gone"))
+    gone = land(gone.union(copied), "gone")
     drop_landed(cuts, earlier, hits)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -73,3 +73,23 @@ def test_near_dedup_stage_on_a_large_group(spark, monkeypatch, pairs):
     got = STAGES["near_dedup"](spark, docs, SF)
     assert keys(got) == similar_kept(rows) and got.columns == docs.columns
     assert STAGES["near_dedup"](spark, docs.limit(0), SF).count() == 0
+
+
+def copies_kept(rows):
+    """One row of the greatest doc_id for each text."""
+    best = {}
+    for i, t, *_ in rows:
+        best[t or ""] = max(best.get(t or "", plain.least_first(None)), plain.least_first(i))
+    return Counter((i, plain.sha(t)) for t, i in best.items())
+
+
+@pytest.mark.parametrize("name, want", [("exact_dedup", copies_kept), ("near_dedup", similar_kept)])
+def test_dedup_stages_decide_on_rows(spark, name, want):
+    few = [(None, "a"), (None, "b"), (None, "b"), (9, "b"), (5, "a x"), (5, "b"), (7, None), (7, ""), (None, None)]
+    rows = [(i, t, None, None, None) for i, t in few]
+    some = plain.awkward(6, 60)
+    rows += [(None if k % 3 == 0 else r[0] % 20, *r[1:]) for k, r in enumerate(some + some[:10])]
+    rows += [(None, *r[1:]) for r in near_copies(5, 12)]
+    docs = plain.documents(spark, rows)
+    out = STAGES[name](spark, docs, SF)
+    assert keys(out) == want(rows) and out.columns == docs.columns

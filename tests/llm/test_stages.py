@@ -6,7 +6,7 @@ from collections import Counter, defaultdict
 
 import pytest
 
-from traymetrics.llm import similar
+from traymetrics.llm import quality, similar
 
 import corpus_pipeline as p
 import plain
@@ -93,3 +93,25 @@ def test_dedup_stages_decide_on_rows(spark, name, want):
     docs = plain.documents(spark, rows)
     out = STAGES[name](spark, docs, SF)
     assert keys(out) == want(rows) and out.columns == docs.columns
+
+
+def test_toxic_documents_are_told_by_held_out_labels(spark):
+    folder = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet")
+    toxic = quality.fit(docs, labels.filter("doc_id % 5 <> 0"), target="toxic")
+    test = docs.join(labels.filter("doc_id % 5 = 0").select("doc_id", "toxic"), "doc_id")
+    words = r"(?i)\b(trash|pathetic|idiot|worthless|disgusting|stupid|clown|scum|loser|moron)\b"
+    rows = quality.score(test, 1.0, toxic).selectExpr("toxic = 1 as toxic", f"rlike(text, r'{words}') as told", "_toxic >= 0.5 as found").collect()
+    found = [r["found"] for r in rows if r["toxic"] and r["told"]]
+    clean = [not r["found"] for r in rows if not r["toxic"]]
+    told = [r["told"] for r in rows if r["toxic"]]
+    print("toxic", len(told), "with words", len(found), "found", sum(found), "found of all", sum(r["found"] for r in rows if r["toxic"]), "clean kept", sum(clean), len(clean))
+    assert sum(found) > 0.97 * len(found) and sum(clean) > 0.98 * len(clean)
+
+
+def test_quality_stage_drops_toxic_documents(spark, tmp_path):
+    rnd = random.Random(1)
+    texts = [" ".join(rnd.choice("abcdefgh") * rnd.randint(2, 5) for _ in range(30)) + (" You MORON." if k % 8 == 0 else " You dear.") for k in range(600)]
+    docs = spark.createDataFrame([(k, t, "en", "s", len(t)) for k, t in enumerate(texts)], plain.DOCS)
+    spark.createDataFrame([(k, 1, int(k % 8 == 0)) for k in range(400)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    assert {r["doc_id"] for r in STAGES["quality"](spark, docs, str(tmp_path)).collect()} == {k for k in range(600) if k % 8}

@@ -192,4 +192,4 @@ def test_pipeline_stages_on_awkward_rows(spark):
 
 def test_every_operator_has_its_query():
     names = [n for n in QUERIES if n.startswith("op")]
-    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11)) and "pipeline" in QUERIES
+    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 14)) and "pipeline" in QUERIES

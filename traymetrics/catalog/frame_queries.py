@@ -3,13 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
 from traymetrics.catalog.registry import query, r4
 from traymetrics.operators import frames as R
 from traymetrics.operators import joins as J
 from traymetrics.streaming import operators as S
-from traymetrics.streaming.runner import land, latest_update, read_files, write_in_turn
+from traymetrics.streaming.runner import land, land_carrying, latest_update, read_files, write_in_turn
 
 GRACE_MS = 6 * 3600 * 1000  # the median gap of one user is about seven hours
 
@@ -72,8 +71,8 @@ def t02_roles(t):
 
 @query("t02_group_dishes_stream", T2_SQL + "SELECT * FROM res WHERE closed_by IS NOT NULL", domain=False)
 def t02_stream(t):
-    events = S.group_dishes_stream(as_frames(stream_of(t, 0)), GRACE_MS)
-    return S.closed_groups(land(events, "append", "dishes", S.ROCKSDB))
+    log = land_carrying(as_frames(stream_of(t)), S.dish_step(3_600_000, GRACE_MS), S.DISH_TABLES, "dishes")
+    return S.closed_groups(log)
 
 
 @query("t03_manual_frames_only", "SELECT event_id AS group_id FROM events WHERE event_type <> 'view'", domain=False)
@@ -106,12 +105,12 @@ def t05(t):
 
 
 @query("t05_ingest_attempts", """
-WITH e AS (SELECT event_id % 5000 AS event_id, ts, event_id AS row_id, event_type IN ('click', 'purchase') AS ok FROM events),
+WITH e AS (SELECT event_id % 5000 AS event_id, ts + INTERVAL 1 MINUTE * CASE WHEN event_id % 7 = 0 THEN 30 ELSE 0 END AS ts, event_id AS row_id, event_type IN ('click', 'purchase') AS ok FROM events),
 f AS (SELECT *, min(CASE WHEN ok THEN row_number END) OVER (PARTITION BY event_id) AS done FROM (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY ts, row_id) AS row_number FROM e))
 SELECT event_id, count(*) AS attempts, max(CASE WHEN ok THEN 1 ELSE 0 END) = 1 AS succeeded, max(ts) AS last_at FROM f WHERE done IS NULL OR row_number <= done GROUP BY event_id""", domain=False)
 def t05_ingest(t):
-    rows = stream_of(t, 0).select((F.col("event_id") % 5000).alias("event_id"), F.col("ts").cast("timestamp").alias("at"), F.col("event_id").alias("row_id"), F.col("event_type").isin("click", "purchase").alias("ok"))
-    log = land(rows, "append", "attempts", each=S.ingest_attempts)
+    rows = stream_of(t).select((F.col("event_id") % 5000).alias("event_id"), (F.col("ts").cast("timestamp") + F.expr("make_dt_interval(0, 0, if(event_id % 7 = 0, 30, 0))")).alias("at"), F.col("event_id").alias("row_id"), F.col("event_type").isin("click", "purchase").alias("ok"))
+    log = land(S.unfinished_deliveries(rows), "append", "attempts", S.ROCKSDB, each=S.ingest_attempts)
     return plain_times(log.groupBy("event_id").agg(F.count(F.lit(1)).alias("attempts"), F.max("ok").alias("succeeded"), F.max("at").alias("last_at")), "last_at")
 
 
@@ -181,11 +180,9 @@ j AS (SELECT f.*, c.cal_id, c.cal_at, c.pos, c.lk FROM f ASOF LEFT JOIN c ON f.c
 
 @query("t10_focus_join", ASOF_SQL + "SELECT camera_id, id AS capture_id, cal_id FROM j", domain=False)
 def t10(t):
-    frames, cals = focus_parts(stream_of(t), stream_of(t))
-    stored = land(cals, "append", "calibrations").drop("_batch")
-    schema = StructType(frames.schema.fields).add("cal_id", "string")
-    rows = land(frames, "append", "focus", each=lambda batch, _: S.focus_join(batch, batch.sparkSession.read.schema(stored.schema).parquet(*stored.inputFiles())), schema=schema)
-    return rows.select("camera_id", "capture_id", "cal_id")
+    frames, cals = focus_parts(stream_of(t), stream_of(t, 10 * 86_400))  # every seventh calibration comes ten days late
+    log = land(S.focus_rows(frames, cals, 10 * 86_400), "append", "focus", S.ROCKSDB)
+    return S.focus_join(log).select("camera_id", "capture_id", "cal_id")
 
 
 @query("j09_asof_join", ASOF_SQL + "SELECT camera_id, id AS row_id, cal_id FROM j", domain=False)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator
 from typing import Any
 
@@ -11,11 +12,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import StructType
 
-from traymetrics.operators.frames import CLOSE_GRACE_MS, PREFILTER_MAD
+from traymetrics.operators.frames import CLOSE_GRACE_MS, DISH_STATE, FRAME, PREFILTER_MAD, dish_roles, dish_state, next_closes
 from traymetrics.operators.joins import asof_join
+from traymetrics.session import materialize
+from traymetrics.streaming.runner import Step
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-GROUP_EVENTS = "camera_id string, kind string, group_id string, capture_id string, late boolean, closed_by string, members long, late_members long, unsure_merges long, representative string, service_id string"
 
 
 def frame_sessions(frames: DataFrame, gap: str, watermark: str = "1 hour") -> DataFrame:
@@ -69,164 +71,192 @@ def stream_provider_outcomes(attempts: DataFrame, codes: list[str]) -> DataFrame
     return df.select("provider", F.coalesce(~down, F.lit(True)).alias("ok"), F.when(down, F.col("_code")).alias("code"), "last_success", "last_failure")
 
 
-def focus_join(batch: DataFrame, calibrations: DataFrame) -> DataFrame:
-    """T-10, for each batch of a frame stream: the newest stored calibration frame at or before every frame.
+def closed_groups(log: DataFrame) -> DataFrame:
+    """T-2: the closed groups of a landed dish log; frames that joined after the close count as late.
 
-    ``calibrations`` is the table a second stream keeps; an older calibration frame counts however
-    far back it lies, and a frame without one stays with a null. No pairs are formed (J-9).
+    A group ends at the first of its closings. Its representative is the member in the middle; its
+    members are read here and never rewritten by a batch.
     """
-    c = calibrations.select("camera_id", "captured_at", "capture_id", F.col("capture_id").alias("cal_id"))
-    hit = asof_join(batch.withColumnRenamed("capture_id", "row_id"), c, ["camera_id"], "captured_at", "capture_id", ["cal_id"])
-    return hit.select("camera_id", F.col("row_id").alias("capture_id"), "captured_at", "cal_id")
+    keys = ["camera_id", "group_id"]
+    on_time = F.col("role").isin("opened", "joined")
+    groups = log.filter(on_time | (F.col("role") == "late")).groupBy(*keys).agg(F.count_if(on_time).alias("members"), F.count_if(~on_time).alias("late_members"), F.count_if("unsure").alias("unsure_merges"))
+    when = F.struct("captured_at", "capture_id")
+    closed = log.filter("role = 'closed'").groupBy(*keys).agg(F.max("service_id").alias("service_id"), F.min_by("closed_by", when).alias("closed_by"))
+    groups = groups.join(closed, keys)
+    place = F.floor((F.col("members") - 1) / 2) + 1
+    middle = log.filter(on_time).select(*keys, F.col("capture_id").alias("representative"), "place").join(groups.select(*keys, place.alias("place")), [*keys, "place"])
+    return groups.join(middle.drop("place"), keys).select(*keys, "service_id", "members", "late_members", "unsure_merges", "closed_by", "representative")
 
 
-def closed_groups(events: DataFrame) -> DataFrame:
-    """T-2: the closed groups of a landed event table; frames that joined after the close count as late."""
-    keys = ["camera_id", "group_id"]
-    joined = events.filter("kind = 'joined'").groupBy(*keys).agg(F.count_if("late").alias("late_members"), F.sum("unsure_merges").alias("unsure_merges"))
-    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
-    closed = events.filter("kind = 'closed'").select(*keys, "service_id", "members", "closed_by", "representative")
-    return closed.join(joined, keys, "left").select(*keys, "service_id", "members", zero("late_members"), zero("unsure_merges"), "closed_by", "representative")
+DISH_LOG = "camera_id string, capture_id string, captured_at timestamp, service_id string, group_id string, role string, place long, unsure boolean, closed_by string"
+DISH_TABLES = {"rows": DISH_LOG, "state": DISH_STATE, "waiting": FRAME, "seen": "camera_id string, seen timestamp"}
 
 
-def ingest_attempts(batch: DataFrame, stored: DataFrame) -> DataFrame:
-    """T-5, for each batch: the attempts to add (event_id, at, row_id, ok).
+def dish_step(delay_ms: int, grace_ms: int = CLOSE_GRACE_MS, prefilter_mad: float = PREFILTER_MAD, idle_ms: int | None = None) -> Step:
+    """T-2, for each batch of a frame stream: rows of DISH_LOG, and what is carried to the next batch.
 
-    A delivery of an event that has succeeded is a replay and adds nothing, neither after its success
-    in this batch nor in an earlier one; a failed event that comes again adds an attempt.
+    Frames may come out of order by ``delay_ms``: a camera's frames are settled, in order of time, once
+    it has sent one that much later (all of them where the step is told to flush). A frame without its
+    verdict holds back its camera's later ones until it is sent again with one. A frame older than what
+    is settled is logged as too_late and changes nothing. With ``idle_ms`` an open group also closes
+    when its camera has been silent that long, by the newest frame of all cameras.
+
+    The work of a batch is that of the batch twin over its frames, with ordered chunks, so a camera with
+    a third of all frames is spread; from the past there is a row a camera and the frames that wait.
+    """
+
+    def step(batch: DataFrame, carried: dict[str, DataFrame], flush: bool) -> dict[str, DataFrame]:
+        columns = [f.split()[0] for f in FRAME.split(", ")]
+        rest = [c for c in columns if c not in ("camera_id", "capture_id")]
+        seen = carried["seen"].union(batch.groupBy("camera_id").agg(F.max("captured_at"))).groupBy("camera_id").agg(F.max("seen").alias("seen"))
+        # a frame sent twice is one; the delivery that knows more counts
+        knows = F.struct(F.col("plate_visible").isNotNull(), F.col("same_dish").isNotNull(), F.col("mad").isNotNull())
+        pool = carried["waiting"].unionByName(batch.select(*columns)).groupBy("camera_id", "capture_id").agg(F.max_by(F.struct(*rest), knows).alias("r")).select("camera_id", "capture_id", "r.*")
+        place = F.struct("captured_at", "capture_id")
+        done = carried["state"].select("camera_id", place.alias("_done"))
+        ready = F.lit(True) if flush else F.col("captured_at").cast("double") <= F.col("seen").cast("double") - delay_ms / 1000.0
+        pool = materialize(pool.join(done, "camera_id", "left").join(seen, "camera_id", "left").select(*columns, F.coalesce(place <= F.col("_done"), F.lit(False)).alias("_late"), ready.alias("_ready")))
+        roles = dish_roles(pool.filter("_ready AND NOT _late").select(*columns), grace_ms, prefilter_mad, carried["state"])
+        state = dish_state(roles)
+        settled = state.select("camera_id", place.alias("_done"))
+        waiting = pool.filter("NOT _late").join(settled, "camera_id", "left").filter(F.col("_done").isNull() | (place > F.col("_done"))).select(*columns)
+        log = ["camera_id", "capture_id", "captured_at", "service_id"]
+        no = lambda name, kind="string": F.lit(None).cast(kind).alias(name)
+        closing = lambda df, why: df.select(*log, "group_id", F.lit("closed").alias("role"), no("place", "long"), no("unsure", "boolean"), why.alias("closed_by"))
+        on_time = F.col("role").isin("opened", "joined")
+        out = roles.filter("role <> 'carried'").select(*log, F.when(F.col("role") != "no_plate", F.col("group_id")).alias("group_id"), "role", F.when(on_time, F.col("_i")).alias("place"), F.col("_unsure").alias("unsure"), no("closed_by"))
+        out = out.union(closing(roles.filter("_closes IS NOT NULL AND _closed = 1").withColumn("service_id", F.col("_group.service")), F.col("_closes")))
+        out = out.union(closing(next_closes(roles), F.col("_next")))
+        out = out.union(pool.filter("_late").select(*log, no("group_id"), F.lit("too_late").alias("role"), no("place", "long"), no("unsure", "boolean"), no("closed_by")))
+        if idle_ms is not None:
+            state = materialize(state)
+            now = seen.agg(F.max("seen").alias("_now"))  # one row
+            silent = F.col("dish").isNotNull() & (F.col("closed") == 0) & (F.col("captured_at").cast("double") <= F.col("_now").cast("double") - idle_ms / 1000.0)
+            state = state.crossJoin(F.broadcast(now)).withColumn("_idle", F.coalesce(silent, F.lit(False)))
+            out = out.union(closing(state.filter("_idle").withColumn("group_id", F.col("dish.id")).withColumn("service_id", F.col("dish.service")), F.lit("idle")))
+            state = state.withColumn("closed", F.when(F.col("_idle"), 1).otherwise(F.col("closed")).cast("long")).drop("_idle", "_now")
+        return {"rows": out, "state": state, "waiting": waiting, "seen": seen}
+
+    return step
+
+
+class Succeeded(StatefulProcessor):
+    """T-5 per event id: whether it had succeeded before this batch. No rows are held."""
+
+    def __init__(self, keep_ms: int | None):
+        self.keep_ms = keep_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.done = handle.getValueState("done", "done boolean", self.keep_ms)
+
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+        if self.done.exists():
+            return
+        ok = False
+        for part in rows:
+            ok = ok or bool(part["ok"].any())
+            yield part
+        if ok:
+            self.done.update((True,))
+
+    def close(self) -> None:
+        pass
+
+
+def unfinished_deliveries(deliveries: DataFrame, keep_ms: int | None = None) -> DataFrame:
+    """T-5: deliveries (event_id, at, row_id, ok) of events that have not succeeded in an earlier batch.
+
+    Keyed state looks up only the ids of the batch; with ``keep_ms`` an id is forgotten after that time.
+    """
+    mode = "ProcessingTime" if keep_ms is not None else "None"
+    return deliveries.groupBy("event_id").transformWithStateInPandas(
+        statefulProcessor=Succeeded(keep_ms), outputStructType=deliveries.schema, outputMode="Append", timeMode=mode
+    )
+
+
+def ingest_attempts(batch: DataFrame) -> DataFrame:
+    """T-5, for each batch of ``unfinished_deliveries``: the attempts to add (event_id, at, row_id, ok).
+
+    A delivery after the event's first success is a replay and adds nothing; a failed event that comes
+    again adds an attempt. The first success is combined before the shuffle, so an event that is
+    delivered over and over stays one row.
     """
-    done = stored.filter("ok").select("event_id").distinct()
     first_ok = batch.filter("ok").groupBy("event_id").agg(F.min(F.struct("at", "row_id")).alias("_ok"))
-    fresh = batch.join(done, "event_id", "left_anti").join(first_ok, "event_id", "left")
+    fresh = batch.join(first_ok, "event_id", "left")
     return fresh.filter(F.col("_ok").isNull() | (F.struct("at", "row_id") <= F.col("_ok"))).select("event_id", "at", "row_id", "ok")
 
 
-class DishGroups(StatefulProcessor):
-    """T-2 per camera: the open group, the last closed one, and the previous frame."""
+FOCUS_ROWS = "camera_id string, chunk long, kind string, capture_id string, captured_at timestamp, cal_id string, seq long"
 
-    HEAD = "open_id string, open_service string, last_plate_ms double, late long, unsure long, closed_id string, closed_service string, prev_service string, prev_group string, held boolean"
 
-    def __init__(self, grace_ms: int, mad: float, idle_ms: int | None):
-        self.grace_ms, self.mad, self.idle_ms = grace_ms, mad, idle_ms
+class FocusChunk(StatefulProcessor):
+    """T-10 per camera and stretch of time: its calibrations and frames.
+
+    A calibration that comes late corrects the frames after it that the stretch already has.
+    """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.head = handle.getValueState("head", self.HEAD)
-        self.members = handle.getListState("members", "id string")
-        self.waiting = handle.getListState("waiting", "capture_id string, ms double, service_id string, mad double, plate_visible boolean, same_dish string")
+        self.cals = handle.getMapState("cals", "at long, id string", "n int")
+        self.frames = handle.getMapState("frames", "id string", "at long, cal string")
+        self.info = handle.getValueState("info", "last_frame long, seq long")
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        camera = key[0]
-        pdf = pd.concat(list(rows), ignore_index=True)
-        pdf["ms"] = pd.to_datetime(pdf["captured_at"]).astype("datetime64[us]").astype("int64") / 1000.0
-        fresh = [
-            (r.capture_id, float(r.ms), r.service_id, None if pd.isna(r.mad) else float(r.mad), None if pd.isna(r.plate_visible) else bool(r.plate_visible), r.same_dish if isinstance(r.same_dish, str) else None)
-            for r in pdf.itertuples(index=False)
-        ]
-        held = list(self.waiting.get())
-        frames = sorted([*map(tuple, held), *fresh], key=lambda f: (f[1], f[0]))
-        s = self._load()
-        out: list[tuple] = []
-        rest: list[tuple] = []
-        for i, frame in enumerate(frames):
-            if not self._step(camera, s, frame, out):
-                rest = frames[i:]
-                break
-        if rest:
-            self.waiting.put(rest)
-        elif held:
-            self.waiting.clear()
-        self._save(s)
-        if self.idle_ms is not None and s["open_id"] is not None:
-            for t in list(self.handle.listTimers()):
-                self.handle.deleteTimer(t)
-            self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.idle_ms)
-        yield self._frame(out)
-
-    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
-        s, out = self._load(), []
-        self._close(key[0], s, "idle", out)
-        self._save(s)
-        yield self._frame(out)
+        camera, chunk = key
+        last, seq = self.info.get() if self.info.exists() else (-(1 << 62), 0)
+        known = sorted(k for k, _ in self.cals.iterator()) if self.info.exists() else []
+        newest = lambda at: known[k - 1][1] if (k := bisect_right(known, (at, chr(0x10FFFF)))) else None
+        for part in rows:
+            out = []
+            times = pd.to_datetime(part["captured_at"]).astype("datetime64[us]").astype("int64")
+            both = list(zip(part["kind"], part["capture_id"], times))
+            cals = [(int(at), i) for kind, i, at in both if kind == "calibration"]
+            if cals:
+                for c in cals:
+                    self.cals.updateValue(c, (1,))
+                known = sorted({*known, *cals})
+                if min(cals)[0] <= last:
+                    changed = [(i, at, newest(at)) for (i,), (at, cal) in self.frames.iterator() if at >= min(cals)[0] and newest(at) != cal]
+                    for i, at, cal in changed:
+                        self.frames.updateValue((i,), (at, cal))
+                    out += [("frame", i, at, cal) for i, at, cal in changed]
+                out.append(("head", known[-1][1], known[-1][0], known[-1][1]))
+            for kind, i, at in both:
+                if kind != "calibration":
+                    self.frames.updateValue((i,), (int(at), newest(int(at))))
+                    out.append(("frame", i, int(at), newest(int(at))))
+                    last = max(last, int(at))
+            made = pd.DataFrame(out, columns=["kind", "capture_id", "captured_at", "cal_id"])
+            made["captured_at"] = pd.to_datetime(made["captured_at"], unit="us")
+            made["seq"] = range(seq, seq + len(made))
+            seq += len(made)
+            yield made.assign(camera_id=camera, chunk=chunk)[[f.split()[0] for f in FOCUS_ROWS.split(", ")]]
+        self.info.update((last, seq))
 
     def close(self) -> None:
         pass
 
-    # state
-
-    NAMES = ["open_id", "open_service", "last_plate_ms", "late", "unsure", "closed_id", "closed_service", "prev_service", "prev_group", "held"]
 
-    def _load(self) -> dict:
-        v = self.head.get() if self.head.exists() else None
-        s = dict(zip(self.NAMES, v)) if v is not None else dict.fromkeys(self.NAMES)
-        s["members"] = [m[0] for m in self.members.get()]
-        return s
+def focus_rows(frames: DataFrame, calibrations: DataFrame, chunk_seconds: int) -> DataFrame:
+    """T-10: FOCUS_ROWS of a frame stream and a calibration stream (camera_id, capture_id, captured_at).
 
-    def _save(self, s: dict) -> None:
-        self.head.update(tuple(s[n] for n in self.NAMES))
-        if s["members"]:
-            self.members.put([(m,) for m in s["members"]])
-        else:
-            self.members.clear()
+    State is keyed by camera and stretch of ``chunk_seconds``, so a busy camera spreads over its
+    stretches and a late calibration touches one of them. A frame row tells the newest calibration of
+    its stretch at or before it, and comes again when that changes; a head row tells the newest
+    calibration of the whole stretch. Needs the RocksDB state store.
+    """
+    chunk = F.floor(F.col("captured_at").cast("double") / chunk_seconds).cast("long")
+    both = frames.withColumn("kind", F.lit("frame")).unionByName(calibrations.withColumn("kind", F.lit("calibration"))).withColumn("chunk", chunk)
+    return both.groupBy("camera_id", "chunk").transformWithStateInPandas(statefulProcessor=FocusChunk(), outputStructType=StructType.fromDDL(FOCUS_ROWS), outputMode="Append", timeMode="None")
 
-    @staticmethod
-    def _frame(out: list[tuple]) -> pd.DataFrame:
-        cols = ["camera_id", "kind", "group_id", "capture_id", "late", "closed_by", "members", "late_members", "unsure_merges", "representative", "service_id"]
-        return pd.DataFrame(out, columns=cols)
 
-    # rules
+def focus_join(log: DataFrame) -> DataFrame:
+    """T-10: the newest calibration at or before every frame (null without one), of a landed log of ``focus_rows``.
 
-    def _close(self, camera, s, reason, out) -> None:
-        if s["open_id"] is None:
-            return
-        m = s["members"]
-        out.append((camera, "closed", s["open_id"], None, None, reason, len(m), s["late"] or 0, s["unsure"] or 0, m[(len(m) - 1) // 2], s["open_service"]))
-        s.update(closed_id=s["open_id"], closed_service=s["open_service"], open_id=None, open_service=None, members=[], late=0, unsure=0)
-
-    def _step(self, camera, s, frame, out) -> bool:
-        """Apply one frame; False when its verdict is still missing."""
-        cid, ms, service, mad, plate, same = frame
-        follows = mad is not None and mad < self.mad and s["prev_service"] == service
-        if not follows and plate is None:
-            return False
-        if s["open_id"] is not None and s["open_service"] != service:
-            self._close(camera, s, "service_change", out)
-        current = s["open_id"] or (s["closed_id"] if s["closed_service"] == service else None)
-        if follows:
-            target = s["prev_group"]
-        elif not plate:
-            target = None
-        elif current is None or same == "different":
-            self._close(camera, s, "different", out)
-            s.update(open_id=cid, open_service=service, last_plate_ms=ms, members=[cid], late=0, unsure=0)
-            out.append((camera, "opened", cid, cid, False, None, None, None, None, None, service))
-            s.update(prev_service=service, prev_group=cid)
-            return True
-        else:
-            target = current
-        if target is None:
-            out.append((camera, "no_plate", None, cid, None, None, None, None, None, None, service))
-            if s["open_id"] is not None and ms - s["last_plate_ms"] >= self.grace_ms:
-                self._close(camera, s, "gap", out)
-        else:
-            late = target != s["open_id"]
-            unsure = not follows and same == "unsure"
-            if not late:
-                s["members"].append(cid)
-                s["last_plate_ms"] = ms
-                s["unsure"] = (s["unsure"] or 0) + int(unsure)
-            out.append((camera, "joined", target, cid, late, None, None, None, int(unsure), None, service))
-        s.update(prev_service=service, prev_group=target)
-        return True
-
-
-def group_dishes_stream(frames: DataFrame, grace_ms: int = CLOSE_GRACE_MS, prefilter_mad: float = PREFILTER_MAD, idle_ms: int | None = None) -> DataFrame:
-    """T-2: group events (opened, joined, no_plate, closed) of a frame stream, keyed by camera.
-
-    Needs the RocksDB state store. Frames with a missing verdict wait in state, and so do the frames
-    after them; with ``idle_ms`` an open group also closes when its camera stays silent.
+    Frames before the first calibration of their stretch take that of the latest stretch before it (J-9).
     """
-    mode = "ProcessingTime" if idle_ms is not None else "None"
-    return frames.groupBy("camera_id").transformWithStateInPandas(
-        statefulProcessor=DishGroups(grace_ms, prefilter_mad, idle_ms), outputStructType=StructType.fromDDL(GROUP_EVENTS), outputMode="Append", timeMode=mode
-    )
+    newest = lambda kind, *keys: log.filter(F.col("kind") == kind).groupBy(*keys).agg(F.max_by(F.struct("capture_id", "captured_at", "cal_id"), F.struct("_batch", "seq")).alias("r"))
+    frames = newest("frame", "camera_id", "chunk", "capture_id").select("camera_id", "chunk", F.col("r.capture_id").alias("capture_id"), "r.captured_at", "r.cal_id")
+    heads = newest("head", "camera_id", "chunk").select("camera_id", "r.captured_at", F.col("r.capture_id").alias("capture_id"), "r.cal_id")
+    open_ = frames.filter("cal_id IS NULL").select("camera_id", "captured_at", F.col("capture_id").alias("row_id"))
+    hit = asof_join(open_, heads, ["camera_id"], "captured_at", "capture_id", ["cal_id"]).select("camera_id", F.col("row_id").alias("capture_id"), "captured_at", "cal_id")
+    return frames.filter("cal_id IS NOT NULL").select("camera_id", "capture_id", "captured_at", "cal_id").unionByName(hit)

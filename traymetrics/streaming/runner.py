@@ -30,36 +30,61 @@ def write_in_turn(rows: DataFrame, at: Column, parts: int, label: str) -> str:
 
 
 def land(
-    stream: DataFrame, mode: str = "append", label: str = "stream", state_store: str | None = None, each: Callable[[DataFrame, DataFrame | None], DataFrame] | None = None, schema: StructType | None = None
+    stream: DataFrame, mode: str = "append", label: str = "stream", state_store: str | None = None, each: Callable[[DataFrame], DataFrame] | None = None, schema: StructType | None = None
 ) -> DataFrame:
     """Drain a stream with availableNow and return what it wrote, with ``_batch``.
 
     Every micro-batch overwrites its own folder, so a replayed batch leaves no duplicates. ``each``
-    turns a batch and the rows of the batches before it into the rows to write, of ``schema``.
+    turns a batch into the rows to write, of ``schema``.
     """
-    spark = stream.sparkSession
-    root = scratch_path(spark, label)
-    table = f"{root}/rows"
+    root = scratch_path(stream.sparkSession, label)
     schema = schema or stream.schema
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        if each is not None:
-            session = batch.sparkSession
-            have = [f"{table}/_batch={k}" for k in range(batch_id)]
-            before = session.read.schema(schema).parquet(*have) if have else session.createDataFrame([], schema)
-            batch = each(batch, before)
-        batch.write.mode("overwrite").parquet(f"{table}/_batch={batch_id}")
+        (each(batch) if each else batch).write.mode("overwrite").parquet(f"{root}/rows/_batch={batch_id}")
+
+    _drain(stream, mode, root, write, state_store)
+    return stream.sparkSession.read.schema(StructType(schema.fields).add("_batch", "long")).parquet(f"{root}/rows")
+
 
+Step = Callable[[DataFrame, dict[str, DataFrame], bool], dict[str, DataFrame]]
+
+
+def land_carrying(stream: DataFrame, step: Step, tables: dict[str, str], label: str = "stream", flush: bool = True) -> DataFrame:
+    """Drain a stream through ``step(batch, tables of the batch before, flush)`` and return its ``rows``.
+
+    ``tables`` gives the schema of ``rows``, which are kept, and of the tables that a batch hands to the
+    next one. Every batch writes folders of its own and reads those of the batch before, so a replay
+    starts from the same place. With ``flush`` one more step settles at the end what still waits.
+    """
+    spark = stream.sparkSession
+    root = scratch_path(spark, label)
+    last = [-1]
+
+    def write(batch: DataFrame, batch_id: int, flush: bool = False) -> None:
+        session = batch.sparkSession
+        read = lambda name: session.read.schema(tables[name]).parquet(f"{root}/{name}/_batch={batch_id - 1}") if batch_id else session.createDataFrame([], tables[name])
+        for name, df in step(batch, {n: read(n) for n in tables if n != "rows"}, flush).items():
+            df.write.mode("overwrite").parquet(f"{root}/{name}/_batch={batch_id}")
+        last[0] = batch_id
+
+    _drain(stream, "append", root, write)
+    if flush:
+        write(spark.createDataFrame([], stream.schema), last[0] + 1, True)
+    return spark.read.schema(StructType(StructType.fromDDL(tables["rows"]).fields).add("_batch", "long")).parquet(f"{root}/rows")
+
+
+def _drain(stream: DataFrame, mode: str, root: str, write: Callable, state_store: str | None = None) -> None:
+    spark = stream.sparkSession
     key = "spark.sql.streaming.stateStore.providerClass"
     before = spark.conf.get(key)
     if state_store:
         spark.conf.set(key, state_store)
     try:
-        q = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).foreachBatch(write).start()
-        q.awaitTermination()
+        writer = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True)
+        writer.foreachBatch(lambda batch, batch_id: write(batch, batch_id)).start().awaitTermination()
     finally:
         spark.conf.set(key, before)
-    return spark.read.schema(StructType(schema.fields).add("_batch", "long")).parquet(table)
 
 
 def latest_update(rows: DataFrame, keys: list[str]) -> DataFrame:

@@ -1,6 +1,7 @@
 """Masks and images against brute-force bitmaps."""
 
 import math
+import time
 
 import numpy as np
 import pytest
@@ -28,6 +29,25 @@ def test_merge_keeps_smaller_of_two_heavy_overlaps(spark):
     assert {(r["pass"], r.idx, r.item_id) for r in K.merge_boxes(df).collect()} == {(2, 0, "b"), (1, 1, None)}
 
 
+def test_ten_thousand_boxes_of_one_photo(spark):
+    rng = np.random.default_rng(5)
+    x, y, w, h = rng.integers(0, 4000, 10_000), rng.integers(0, 3000, 10_000), rng.choice([1, 20, 60, 900], 10_000), rng.choice([2, 20, 60, 700], 10_000)
+    rows = [("e", 1, k, None if k % 3 else f"i{k % 7}", tuple(map(float, (a, b, a + c, b + d)))) for k, (a, b, c, d) in enumerate(zip(x, y, w, h))] + [("f", 1, k, "i", (0.0, 0.0, 10.0, 10.0)) for k in range(2_000)]
+    df = spark.createDataFrame(rows, "event_id string, pass int, idx int, item_id string, box struct<x0: double, y0: double, x1: double, y1: double>")
+    begun = time.time()
+    got = {(r.event_id, r.idx) for r in K.merge_boxes(df).collect()}
+    assert time.time() - begun < 30
+    box = np.array([r[4] for r in rows[:10_000]])
+    area = (box[:, 2] - box[:, 0]) * (box[:, 3] - box[:, 1])
+    kept = np.zeros(0, int)
+    for k in sorted(range(10_000), key=lambda k: (area[k], *box[k], rows[k][3] is None, rows[k][3] or "", k)):
+        a, b = box[kept], box[k]
+        both = np.maximum(0, np.minimum(a[:, 2], b[2]) - np.maximum(a[:, 0], b[0])) * np.maximum(0, np.minimum(a[:, 3], b[3]) - np.maximum(a[:, 1], b[1]))
+        if not np.any(both / (area[kept] + area[k] - both) > 0.5):
+            kept = np.append(kept, k)
+    assert got == {("e", int(k)) for k in kept} | {("f", 0)}
+
+
 def to_rows(bitmap):
     out = []
     for y in range(bitmap.shape[0]):

@@ -3,6 +3,7 @@
 import hashlib
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from traymetrics.operators import changes as C
@@ -65,7 +66,8 @@ def test_inbox_scan_and_stream(spark, tmp_path):
     assert {r.capture_id for r in frames.collect()} == {"ok", "cal"} and issues.count() == 4
 
 
-def test_snapshot_to_tables(spark, tmp_path):
+@pytest.mark.parametrize("indent, split", [(None, "128m"), (2, "128m"), (2, "300b")])
+def test_snapshot_to_tables(spark, tmp_path, indent, split):
     doc = {
         "menus": [{"service": {"serviceId": "s", "hallId": "h", "hallTimezone": "UTC", "serviceDate": "2026-10-03", "mealLabel": "lunch", "menuId": "m", "menuVersion": 1}, "items": [{"itemId": "i", "menuId": "m", "displayName": "Rice"}]}],
         "captureEvents": [{"eventId": "e", "hallId": "h", "serviceId": "s", "capturedAt": "2026-10-03T12:00:00Z", "imageObjectId": "o", "geometry": {"widthPx": 10, "heightPx": 10, "coordinateSpace": "x"}, "source": "camera", "qualityFlags": ["blurred"], "state": "succeeded"}],
@@ -73,8 +75,15 @@ def test_snapshot_to_tables(spark, tmp_path):
         "hiddenCaptureIds": ["e"],
     }
     p = tmp_path / "snap.json"
-    p.write_text(json.dumps(doc))
-    t = R.read_snapshot(spark, str(p))
+    doc |= {"schemaVersion": 4, "scans": [], "insights": [{}], "note": "[\\n    {"}
+    p.write_text(json.dumps(doc, indent=indent))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", split)  # elements cross the splits
+    try:
+        t = {k: v.cache() for k, v in R.read_snapshot(spark, str(p)).items()}
+        assert all(v.count() < 3 for v in t.values())
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
     assert t["meal_service"].first().service_date.isoformat() == "2026-10-03" and t["menu_item"].first().display_name == "Rice"
     e = t["capture_event"].first()
     assert (e.geometry.width_px, e.quality_flags) == (10, ["blurred"])
@@ -122,6 +131,38 @@ def test_history_draws(spark):
     assert {r.measurement_id: r.remaining_area_px for r in t["food_measurement"].collect()} == want
 
 
+def test_an_append_that_breaks_off_is_repeated_whole(spark, tmp_path, monkeypatch):
+    from pyspark.sql.readwriter import DataFrameWriter
+
+    root = str(tmp_path)
+    frame = lambda rows, ddl: spark.createDataFrame(rows, ddl)
+    attempts = frame([("a1", "ok", None), ("a2", "ok", None), ("a3", "bad", "x")], "attempt_id string, status string, reason string")
+    rows = frame([("a1", "m1", None), ("a2", "m2", None), ("a2", "m3", None), ("a3", "m4", None)], "attempt_id string, measurement_id string, reason string")
+    regions, counts = rows.select("attempt_id", F.lit("i").alias("item_id")), attempts.select("attempt_id", F.lit(5).alias("capture_pixels_wasted"))
+    real = DataFrameWriter.parquet
+    for stop in ("segmentation_region", "analysis_attempt", C.COMMITS):  # between any two tables, and before the record
+
+        def broken(self, path, *args, stop=stop, **more):
+            if f"/{stop}/" in path:
+                raise OSError("lost")
+            return real(self, path, *args, **more)
+
+        monkeypatch.setattr(DataFrameWriter, "parquet", broken)
+        with pytest.raises(OSError):
+            C.append_analysis(root, attempts, rows, regions, counts)
+        monkeypatch.setattr(DataFrameWriter, "parquet", real)
+        assert all(df.isEmpty() for df in C.read_analysis(spark, root).values())
+    for again in (attempts, attempts.orderBy(F.desc("attempt_id")), attempts.filter("attempt_id = 'a1'")):
+        C.append_analysis(root, again, rows, regions, counts)
+    more = frame([("a2", "ok", None), ("a4", "ok", None)], "attempt_id string, status string, reason string")
+    rejects = C.append_analysis(root, more, frame([("a4", "m5", None), ("a2", "m9", None)], "attempt_id string, measurement_id string, reason string"), regions, counts)
+    assert {(r.attempt_id, r.reason) for r in rejects.collect()} == {("a2", "already_recorded")}
+    t = C.read_analysis(spark, root)
+    assert sorted(r.attempt_id for r in t["analysis_attempt"].collect()) == ["a1", "a2", "a4"]
+    assert sorted(r.measurement_id for r in t["food_measurement"].collect()) == ["m1", "m2", "m3", "m5"]
+    assert t["segmentation_region"].count() == 3 and t["capture_count"].count() == 2
+
+
 def test_gated_append_and_delete(spark):
     a = spark.createDataFrame([("a1", None), ("a2", None), ("a3", "calibration_not_succeeded")], "attempt_id string, reason string")
     m = spark.createDataFrame([("a1", None), ("a2", None), ("a2", "invalid_remaining"), ("a3", None)], "attempt_id string, reason string")

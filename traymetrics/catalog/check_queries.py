@@ -522,7 +522,7 @@ def snk04_append(t):
     root = scratch_path(t.spark, "analysis")
     for batch in (attempts.filter("event_id % 3 = 0"), attempts):
         C.append_analysis(root, batch, rows, regions, counts)
-    stored = {n: t.spark.read.parquet(f"{root}/{n}") for n in C.ANALYSIS_TABLES}
+    stored = C.read_analysis(t.spark, root)
     n = stored["food_measurement"].groupBy("attempt_id").agg(F.count(F.lit(1)).alias("measurements"))
     r = stored["segmentation_region"].groupBy("attempt_id").agg(F.count(F.lit(1)).alias("regions"))
     out = stored["analysis_attempt"].join(n, "attempt_id", "left").join(r, "attempt_id", "left").join(stored["capture_count"], "attempt_id", "left")

@@ -232,12 +232,19 @@ def w15(t):
 
 
 @query("j10_resolve_service", """
-, s AS (SELECT event_id, hall_id, captured_at, (captured_at AT TIME ZONE 'UTC') AT TIME ZONE 'America/Detroit' AS l FROM cap),
-m AS (SELECT *, strftime(l, '%H:%M') AS hm, l::DATE AS d FROM s), w AS (SELECT *, CASE WHEN hm BETWEEN '07:00' AND '10:00' THEN 'breakfast' WHEN hm BETWEEN '11:00' AND '14:00' THEN 'lunch' WHEN hm BETWEEN '17:00' AND '20:30' THEN 'dinner' END AS meal FROM m)
-SELECT event_id, meal, v.service_id, CASE WHEN meal IS NULL THEN 'no_meal_served' WHEN v.service_id IS NULL THEN 'no_menu_saved' END AS reason FROM w LEFT JOIN svc v ON v.hall_id = w.hall_id AND v.service_date = w.d AND v.meal_label = w.meal""")
+, win AS (SELECT 'hall-' || n_nationkey AS hall_id, CASE r_regionkey WHEN 0 THEN 'breakfast' WHEN 1 THEN 'lunch' WHEN 2 THEN 'dinner' WHEN 3 THEN 'brunch' ELSE 'late' END AS meal,
+ CASE r_regionkey WHEN 0 THEN '07:0' WHEN 1 THEN '11:0' WHEN 2 THEN '17:0' WHEN 3 THEN '09:3' ELSE '20:1' END || n_nationkey AS s, CASE r_regionkey WHEN 0 THEN '10:00' WHEN 1 THEN '14:00' WHEN 2 THEN '20:30' WHEN 3 THEN '13:15' ELSE '23:40' END AS e FROM region, nation WHERE n_nationkey <= 4 AND n_nationkey <> r_regionkey),
+s AS (SELECT event_id, hall_id, (captured_at AT TIME ZONE 'UTC') AT TIME ZONE 'America/Detroit' AS l FROM cap),
+m AS (SELECT s.*, meal, s.l::DATE AS d, row_number() OVER (PARTITION BY event_id ORDER BY win.s, win.e, meal) AS k FROM s LEFT JOIN win ON win.hall_id = s.hall_id AND strftime(l, '%H:%M') BETWEEN win.s AND win.e)
+SELECT event_id, meal, v.service_id, CASE WHEN meal IS NULL THEN 'no_meal_served' WHEN v.service_id IS NULL THEN 'no_menu_saved' END AS reason FROM m LEFT JOIN svc v ON v.hall_id = m.hall_id AND v.service_date = m.d AND v.meal_label = m.meal WHERE k = 1""")
 def j10(t):
-    r = F.col("r_regionkey")
-    pick = lambda *v: F.when(r == 0, v[0]).when(r == 1, v[1]).otherwise(v[2])
-    windows = t.read("region").filter(r < 3).select(pick("breakfast", "lunch", "dinner").alias("meal"), pick("07:00", "11:00", "17:00").alias("start"), pick("10:00", "14:00", "20:30").alias("end"))
+    """Each hall leaves out another meal and starts a minute later; brunch and late overlap others."""
+    r, n = F.col("r_regionkey"), F.col("n_nationkey")
+    pick = lambda *v: F.element_at(F.array(*map(F.lit, v)), (r + 1).cast("int"))
+    halls = t.read("nation").filter(n <= 4).select("n_nationkey").join(t.read("region").select("r_regionkey"), n != r)
+    windows = halls.select(
+        F.concat(F.lit("hall-"), n.cast("string")).alias("hall_id"), pick("breakfast", "lunch", "dinner", "brunch", "late").alias("meal"),
+        F.concat(pick("07:0", "11:0", "17:0", "09:3", "20:1"), n.cast("string")).alias("start"), pick("10:00", "14:00", "20:30", "13:15", "23:40").alias("end"),
+    )
     scans = t.captures().select("event_id", "hall_id", F.lit("America/Detroit").alias("hall_timezone"), F.col("captured_at").alias("scanned_at"))
     return J.resolve_service(scans, windows, t.services()).select("event_id", "meal", "service_id", "reason")

@@ -11,6 +11,7 @@ from traymetrics.functions.text import baseline_id, item_id, menu_id, readable_i
 from traymetrics.operators import eligibility as E
 from traymetrics.operators import joins as J
 from traymetrics.operators import picking as P
+from traymetrics.operators import facts as F21
 from traymetrics.operators import services as S
 
 MR = """CASE WHEN item_id IS NULL THEN 'unknown_item' WHEN baseline_area_px IS NULL THEN 'missing_baseline' WHEN baseline_area_px <= 0 THEN 'invalid_baseline'
@@ -396,6 +397,19 @@ def a05_counts(t):
     return benchmark(t)[1]
 
 
+@query("f21_portion_version", A5_SQL + """
+, words(reason, said) AS (VALUES """ + ", ".join(f"('{k}', '{v}')" for k, v in F21.BENCHMARK_REASONS.items()) + """),
+js AS (SELECT service_id, '{"itemId":"' || b.item_id || '","displayName":"' || n.display_name || '","portionsServed":' || coalesce(CAST(CAST(portions_served AS BIGINT) AS VARCHAR), 'null') || ',"portionsSource":' || coalesce('"' || portions_source || '"', 'null')
+ || ',"pixelsWasted":' || coalesce(CAST(CAST(px AS BIGINT) AS VARCHAR), 'null') || ',"pixelsWastedPerPortion":' || coalesce(regexp_replace(CAST(CASE WHEN b.reason IS NULL THEN CAST(px AS DOUBLE) / portions_served END AS VARCHAR), '[.]0$', ''), 'null')
+ || ',"measuredCaptures":' || measured_captures || ',"unavailableReason":' || coalesce('"' || said || '"', 'null') || '}' AS j, b.item_id
+ FROM br b JOIN svc USING (service_id) JOIN menu n ON n.menu_id = svc.menu_id AND n.item_id = b.item_id LEFT JOIN words USING (reason)),
+ls AS (SELECT service_id, string_agg(j, ',' ORDER BY item_id) AS j FROM js GROUP BY 1)
+SELECT s.service_id, '["portions-v1","' || s.hall_id || '","' || s.service_id || '","' || strftime(s.service_date, '%Y-%m-%d') || '",' || s.menu_version || ',' || (SELECT count(*) FROM cap c WHERE c.service_id = s.service_id) || ',' || coalesce(measured_dishes, 0) || ','
+ || CAST(coalesce(dropped, 0) + coalesce((SELECT count(*) FROM good g WHERE g.service_id = s.service_id AND NOT listed), 0) AS BIGINT) || ',[' || coalesce(j, '') || ']]' AS data_version FROM svc s LEFT JOIN sv USING (service_id) LEFT JOIN ls USING (service_id)""")
+def f21_portions(t):
+    return F21.portion_version(t.services(), *benchmark(t))
+
+
 A12_SQL = """
 , cm AS (SELECT * FROM meas WHERE attempt_id IN (SELECT attempt_id FROM counted)),
 pl AS (SELECT c.event_id, c.service_id, c.hall_id, c.service_date, CASE WHEN c.state <> 'succeeded' OR c.space <> 'topdown-normalized-v1' THEN NULL WHEN m.n IS NULL THEN 0 ELSE 100 * m.r / nullif(m.b, 0) END AS pct

@@ -140,3 +140,14 @@ def nice_ceil(c) -> Column:
     steps = F.transform(F.array(*[F.lit(v) for v in (1.0, 2.0, 2.5, 5.0, 10.0)]), lambda m: m * base)
     fit = F.element_at(F.filter(steps, lambda s: x <= s), 1)
     return F.when(x.isNull(), F.lit(None).cast("double")).when(x <= 0, F.lit(10.0)).otherwise(F.coalesce(fit, base * 10.0))
+
+
+def json_number(c) -> Column:
+    """A double as JSON text in the shortest form: 12, 0.5, 1.5e-7, 1e+21; null is null."""
+    x = as_col(c).cast("double")
+    digits = x.cast("decimal(38,17)").cast("string")
+    plain = F.regexp_replace(F.regexp_replace(digits, r"(\.\d*?)0+$", "$1"), r"\.$", "")
+    parts = F.split(x.cast("string"), "E")
+    head, power = F.regexp_replace(parts[0], r"\.0$", ""), parts[1].cast("int")
+    spelled = F.concat(head, F.when(power < 0, F.lit("e")).otherwise(F.lit("e+")), power.cast("string"))
+    return F.when((x == 0) | ((F.abs(x) >= 1e-6) & (F.abs(x) < 1e21)), plain).when(x.isNotNull() & ~F.isnan(x), spelled).otherwise(F.lit("null"))

@@ -103,3 +103,9 @@ def truth_foods(cells, name_map: dict[str, str] | None = None) -> Column:
     parts = F.transform(F.split(as_col(cells), "&"), lambda p: F.trim(p))
     parts = F.filter(parts, lambda p: (p != "") & ~p.rlike(r"(?i)^(un(k)?own|unkown)"))
     return F.array_distinct(F.transform(parts, lambda p: canonical_food(p, name_map)))
+
+
+def json_string(c) -> Column:
+    """A string as JSON text with its quotes; null is null."""
+    text = F.to_json(F.struct(F.col(c).alias("v") if isinstance(c, str) else c.alias("v")))
+    return F.when((F.col(c) if isinstance(c, str) else c).isNotNull(), F.substr(text, F.lit(6), F.length(text) - 6)).otherwise(F.lit("null"))

@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from traymetrics.session import materialize
@@ -123,8 +122,7 @@ def record_analysis(attempts: DataFrame, measurements: DataFrame, stored_attempt
     """SNK-4 gate: (attempts to append, their measurements, rejects with a reason).
 
     An attempt is appended with all of its measurements or not at all; rows carry ``reason`` from
-    the checks V-8 to V-10, and an attempt id that is already stored is rejected. Writers append the
-    measurements first and the attempts last, so a reader that joins through attempts never sees half.
+    the checks V-8 to V-10, and an attempt id that is already stored is rejected.
     """
     known = stored_attempts.select("attempt_id").distinct().withColumn("_known", F.lit(True))
     bad_rows = measurements.filter(F.col("reason").isNotNull()).groupBy("attempt_id").agg(F.min("reason").alias("_row_reason"))
@@ -139,25 +137,59 @@ def record_analysis(attempts: DataFrame, measurements: DataFrame, stored_attempt
 ANALYSIS_TABLES = ("food_measurement", "segmentation_region", "capture_count", "analysis_attempt")
 
 
-def append_analysis(root: str, attempts: DataFrame, measurements: DataFrame, regions: DataFrame, counts: DataFrame) -> DataFrame:
+COMMITS, APPEND = "_commits", "_append"
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
+def committed_appends(spark: SparkSession, root: str) -> DataFrame:
+    """The ids of the appends that were finished."""
+    if not _exists(spark, f"{root}/{COMMITS}"):
+        return spark.createDataFrame([], f"{APPEND} string")
+    return spark.read.schema(f"at timestamp, {APPEND} string").parquet(f"{root}/{COMMITS}").select(APPEND)
+
+
+def read_analysis(spark: SparkSession, root: str) -> dict[str, DataFrame]:
+    """SNK-4: the tables under ``root`` that hold something, without the rows of appends that broke off."""
+    commits, out = committed_appends(spark, root), {}
+    for name in ANALYSIS_TABLES:
+        if _exists(spark, f"{root}/{name}"):
+            rows = spark.read.parquet(f"{root}/{name}")
+            out[name] = rows.withColumn(APPEND, F.col(APPEND).cast("string")).join(commits, APPEND, "left_semi").drop(APPEND)
+    return out
+
+
+def append_name(attempts: DataFrame) -> str:
+    """A name that a set of attempts always gets, in whatever order or files it comes."""
+    ids = attempts.select("attempt_id").distinct().select(F.xxhash64("attempt_id").cast("decimal(38,0)").alias("h"), F.xxhash64("attempt_id", F.lit(1)).alias("g"))
+    n, total, mixed = ids.agg(F.count(F.lit(1)), F.sum("h"), F.bit_xor("g")).first()
+    return f"a{n}-{total or 0}-{mixed or 0}"
+
+
+def append_analysis(root: str, attempts: DataFrame, measurements: DataFrame, regions: DataFrame, counts: DataFrame, name: str | None = None) -> DataFrame:
     """SNK-4: append what the gate lets through to the tables under ``root``; returns the rejects.
 
     ``attempts`` and ``measurements`` carry ``reason`` (null when fine); regions and counts belong to
-    attempts. Children are written before the attempts, which make them visible: an append that
-    breaks off leaves no attempt, and rows whose attempt is missing are not read through it.
+    attempts. Every table gets a folder of the append's ``name`` (that of its attempts, if none is
+    given), and a commit record is written when all are there. ``read_analysis`` reads appends with a
+    record only, so one that breaks off leaves nothing to be seen; repeated, it overwrites its folders.
+    An append whose record exists changes nothing. One writer at a time.
     """
     spark = attempts.sparkSession
-    empty = attempts.select("attempt_id").limit(0)
-    try:
-        stored = spark.read.parquet(f"{root}/analysis_attempt").select("attempt_id")
-    except AnalysisException:  # nothing stored so far
-        stored = empty
-    ok, rows, rejects = record_analysis(attempts, measurements, stored)
+    name = name or append_name(attempts)
+    stored = read_analysis(spark, root).get("analysis_attempt", attempts.select("attempt_id").limit(0))
+    ok, rows, rejects = record_analysis(attempts, measurements, stored.select("attempt_id"))
     ok, rejects = materialize(ok), materialize(rejects)
+    if not committed_appends(spark, root).filter(F.col(APPEND) == name).isEmpty():
+        return rejects
     visible = ok.select("attempt_id")
     children = (rows.drop("reason"), regions.join(visible, "attempt_id", "left_semi"), counts.join(visible, "attempt_id", "left_semi"))
-    for name, df in zip(ANALYSIS_TABLES, (*children, ok.drop("reason"))):
-        df.write.mode("append").parquet(f"{root}/{name}")
+    for table, df in zip(ANALYSIS_TABLES, (*children, ok.drop("reason"))):
+        df.write.mode("overwrite").parquet(f"{root}/{table}/{APPEND}={name}")
+    spark.range(1).select(F.current_timestamp().alias("at")).coalesce(1).write.mode("overwrite").parquet(f"{root}/{COMMITS}/{APPEND}={name}")
     return rejects
 
 

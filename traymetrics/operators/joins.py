@@ -167,24 +167,27 @@ def asof_join(left: DataFrame, right: DataFrame, on: list[str], ts: str, right_k
 
 
 def resolve_service(scans: DataFrame, windows: DataFrame, services: DataFrame) -> DataFrame:
-    """J-10: scan instant to meal window (inclusive local HH:MM) to service, with a reason when none.
+    """J-10: scan instant to its hall's meal window (inclusive local HH:MM) to service, with a reason when none.
 
-    ``windows`` is a hall's list of meals (meal, start, end); overlapping windows resolve to the first start.
+    ``windows`` (hall_id, meal, start, end) holds every hall's meals; of overlapping ones the first start
+    counts, then the first end and meal. An interval join by hall and hour: a window stands under each
+    hour it touches, and a scan looks at the few windows of its own hall and hour.
     """
-    w = windows.select(F.col("meal").alias("_meal"), F.col("start").alias("_start"), F.col("end").alias("_end"))
-    table = w.agg(F.array_sort(F.collect_set(F.struct("_start", "_end", "_meal"))).alias("_windows"))  # a handful of meals
+    hours = F.sequence(F.substring("start", 1, 2).cast("int"), F.substring("end", 1, 2).cast("int"))
+    w = windows.filter("start <= end").select(F.col("hall_id").alias("_hall"), F.explode(hours).alias("_hour"), F.struct(F.col("start").alias("_start"), F.col("end").alias("_end"), F.col("meal").alias("_meal")).alias("_w"))
+    table = w.groupBy("_hall", "_hour").agg(F.array_sort(F.collect_set("_w")).alias("_windows"))  # what a hall serves within an hour
     svc = services.select(
-        F.col("hall_id").alias("_hall"), F.col("service_date").alias("_date"), F.col("meal_label").alias("_label"), "service_id"
+        F.col("hall_id").alias("_at"), F.col("service_date").alias("_date"), F.col("meal_label").alias("_label"), "service_id"
     )
     hit = F.get(F.filter("_windows", lambda x: (x["_start"] <= F.col("local_time")) & (F.col("local_time") <= x["_end"])), F.lit(0))
     return (
         scans.withColumn("local_day", local_date("scanned_at", "hall_timezone"))
         .withColumn("local_time", local_hhmm("scanned_at", "hall_timezone"))
-        .crossJoin(F.broadcast(table))
+        .join(table, (F.col("hall_id") == F.col("_hall")) & (F.substring("local_time", 1, 2).cast("int") == F.col("_hour")), "left")
         .withColumn("meal", hit["_meal"])
-        .drop("_windows")
-        .join(svc, (F.col("hall_id") == F.col("_hall")) & (F.col("local_day") == F.col("_date")) & (F.col("meal") == F.col("_label")), "left")
-        .drop("_hall", "_date", "_label")
+        .drop("_windows", "_hall", "_hour")
+        .join(svc, (F.col("hall_id") == F.col("_at")) & (F.col("local_day") == F.col("_date")) & (F.col("meal") == F.col("_label")), "left")
+        .drop("_at", "_date", "_label")
         .withColumn(
             "reason",
             F.when(F.col("meal").isNull(), F.lit("no_meal_served")).when(F.col("service_id").isNull(), F.lit("no_menu_saved")),

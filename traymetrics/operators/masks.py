@@ -6,6 +6,9 @@ pixels, which bounds every per-row list below.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -84,33 +87,43 @@ def assign_pixels(runs: DataFrame) -> tuple[DataFrame, DataFrame]:
 def merge_boxes(boxes: DataFrame, iou: float = MERGE_IOU) -> DataFrame:
     """G-2: keep boxes smallest first, each only if its IoU with every kept box is within the limit.
 
-    ``boxes`` has event_id, pass, idx, item_id, box (x0, y0, x1, y1 in pixels). An answer holds at
-    most 128 pieces (V-16 rejects longer ones), so the fold over one event's list is bounded.
+    ``boxes`` has event_id, pass, idx, item_id, box (x0, y0, x1, y1 in pixels). The boxes of one photo are
+    one group. Kept boxes stand under the cells of a grid they reach, and a box is compared only with
+    those that share a cell with it.
     """
     b = F.col("box")
-    entry = F.struct(
-        box_area(b).alias("a"),
-        b["x0"].alias("x0"), b["y0"].alias("y0"), b["x1"].alias("x1"), b["y1"].alias("y1"),
-        F.col("item_id").isNull().alias("no_item"),
-        F.coalesce("item_id", F.lit("")).alias("item"),
-        F.col("pass").alias("pass"),
-        F.col("idx").alias("idx"),
-    )
-    listed = boxes.groupBy("event_id").agg(F.array_sort(F.collect_list(entry)).alias("_all"))
-    listed = listed.withColumn("_none", F.slice("_all", 1, 0))
-    kept = F.aggregate(
-        "_all",
-        F.col("_none"),
-        lambda acc, x: F.when(F.exists(acc, lambda k: box_iou(k, x) > iou), acc).otherwise(F.concat(acc, F.array(x))),
-    )
-    k = F.col("_k")
-    return listed.select("event_id", F.explode(kept).alias("_k")).select(
-        "event_id",
-        k["pass"].alias("pass"),
-        k["idx"].alias("idx"),
-        F.when(~k["no_item"], k["item"]).alias("item_id"),
-        F.struct(k["x0"].alias("x0"), k["y0"].alias("y0"), k["x1"].alias("x1"), k["y1"].alias("y1")).alias("box"),
-    )
+    rows = boxes.select("event_id", "pass", "idx", "item_id", box_area(b).alias("area"), b["x0"].alias("x0"), b["y0"].alias("y0"), b["x1"].alias("x1"), b["y1"].alias("y1"))
+    kinds = {f.name: f.dataType.simpleString() for f in boxes.schema.fields}
+
+    def kept(table: pa.Table) -> pa.Table:
+        order = [(c, "ascending") for c in ("area", "x0", "y0", "x1", "y1", "item_id", "pass", "idx")]
+        table = table.take(pc.sort_indices(table, order, null_placement="at_end"))
+        return table.filter(pa.array(_apart(*(table.column(c).to_numpy() for c in ("x0", "y0", "x1", "y1")), iou)))
+
+    out = rows.groupBy("event_id").applyInArrow(kept, ", ".join([f"{c} {kinds[c]}" for c in ("event_id", "pass", "idx", "item_id")] + [f"{c} double" for c in ("area", "x0", "y0", "x1", "y1")]))
+    return out.select("event_id", "pass", "idx", "item_id", F.struct("x0", "y0", "x1", "y1").alias("box"))
+
+
+def _apart(x0: np.ndarray, y0: np.ndarray, x1: np.ndarray, y1: np.ndarray, iou: float) -> np.ndarray:
+    """Which boxes, taken in order, overlap none taken before them by more than ``iou``."""
+    n = len(x0)
+    area = (x1 - x0) * (y1 - y0)
+    # cells as wide and high as the usual box, so a box reaches a few
+    wide, high = (max(float(np.median(d)), 1e-9) if n else 1.0 for d in (x1 - x0, y1 - y0))
+    cells: dict[tuple[int, int], list[int]] = {}
+    taken = np.zeros(n, bool)
+    for i in range(n):
+        reach = [(cx, cy) for cx in range(int(x0[i] // wide), int(x1[i] // wide) + 1) for cy in range(int(y0[i] // high), int(y1[i] // high) + 1)]
+        near = np.array(sorted({k for c in reach for k in cells.get(c, ())}), np.int64)
+        if len(near):
+            both = np.maximum(0.0, np.minimum(x1[near], x1[i]) - np.maximum(x0[near], x0[i])) * np.maximum(0.0, np.minimum(y1[near], y1[i]) - np.maximum(y0[near], y0[i]))
+            union = area[near] + area[i] - both
+            if np.any((union > 0) & (both > 0) & (both / np.where(union > 0, union, 1.0) > iou)):
+                continue
+        taken[i] = True
+        for c in reach:
+            cells.setdefault(c, []).append(i)
+    return taken
 
 
 def split_target(pieces: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:

@@ -28,6 +28,19 @@ def test_menu_csv_rejects_whole_files(spark, tmp_path):
         assert none.count() == 0 and [r.reason for r in bad.collect()] == [reason]
 
 
+def test_csv_of_many_columns_and_a_repeated_header(spark, tmp_path):
+    more = [f"extra {k}" for k in range(96)]
+    head = ",".join(["date", "meal", *more, '"item_name"', "category", "description"])
+    row = lambda name: ",".join(["2026-10-03", "lunch", *["x"] * 96, name, "Hot", '"a, b"', "beyond"])
+    (tmp_path / "a.csv").write_text("\n".join([head, row("Rice"), row("Soup")]) + "\n")
+    (tmp_path / "b.csv").write_text("meal,date,item_name\ndinner,2026-10-03,Stew\n")
+    _, items, bad = R.read_menu_csv(spark, str(tmp_path), "h", "UTC")
+    assert {(r.display_name, r.category, r.description) for r in items.collect()} == {("Rice", "Hot", "a, b"), ("Soup", "Hot", "a, b"), ("Stew", None, None)} and bad.count() == 0
+    (tmp_path / "a.csv").write_text("\n".join([head, row("Rice"), head]) + "\n")
+    _, items, bad = R.read_menu_csv(spark, str(tmp_path), "h", "UTC")
+    assert [r.display_name for r in items.collect()] == ["Stew"] and [r.reason for r in bad.collect()] == ["invalid_date"]  # a header again is a bad row
+
+
 def test_portions_entries(spark):
     menus = spark.createDataFrame([("s", "h", "2026-10-03", "m", 2, i) for i in "abc"], "service_id string, hall_id string, service_date string, menu_id string, menu_version long, item_id string")
     rows = lambda *r: spark.createDataFrame(list(r), "service_id string, menu_version long, item_id string, count string")

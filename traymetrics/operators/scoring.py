@@ -2,15 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# fixed values: foods below this share of the plate's pixels are ignored; photo rules of the labelled set
-MIN_SHARE = 0.01
-PIZZA = ["Cheese Pizza", "Pepperoni Pizza", "Chicken Broccoli Alfredo Pizza"]
-ANY_PIZZA = ["IMG_2696", "IMG_2704"]
-NOT_SCORED = ["IMG_2705"]
-NO_WRONG = ["IMG_2706"]
+MIN_SHARE = 0.01  # fixed value: foods below this share of the plate's pixels are ignored
 
 
 def detected_foods(items: DataFrame, min_share: float = MIN_SHARE) -> DataFrame:
@@ -26,21 +23,22 @@ def score_runs(
     runs: DataFrame,
     items: DataFrame,
     truth: DataFrame,
-    any_of: list[str] = ANY_PIZZA,
-    family: list[str] = PIZZA,
-    not_scored: list[str] = NOT_SCORED,
-    no_wrong: list[str] = NO_WRONG,
+    any_of: Sequence[str] = (),
+    family: Sequence[str] = (),
+    not_scored: Sequence[str] = (),
+    no_wrong: Sequence[str] = (),
 ) -> DataFrame:
     """Per counted and scored run: correct, missed, wrong.
 
     ``runs`` has run_key, photo, counted; ``truth`` has photo, food. For photos in ``any_of`` any food
-    of the family is one correct answer; photos in ``no_wrong`` never count wrong foods.
+    of the family is one correct answer; photos in ``no_wrong`` never count wrong foods; those in
+    ``not_scored`` are left out.
     """
-    scored = runs.filter(F.col("counted") & ~F.col("photo").isin(not_scored or [""])).select("run_key", "photo")
+    scored = runs.filter(F.col("counted") & ~F.col("photo").isin(list(not_scored))).select("run_key", "photo")
     d = detected_foods(items).join(scored, "run_key").withColumn("_d", F.lit(1))
     t = scored.join(truth.select("photo", "food").distinct(), "photo").withColumn("_t", F.lit(1))
     both = d.select("run_key", "food", "_d").join(t.select("run_key", "food", "_t"), ["run_key", "food"], "full")
-    fam = F.col("food").isin(family or [""])
+    fam = F.col("food").isin(list(family))
     n = both.groupBy("run_key").agg(
         F.count_if(F.col("_d").isNotNull() & F.col("_t").isNotNull()).alias("_c"),
         F.count_if(F.col("_d").isNull()).alias("_m"),
@@ -49,7 +47,7 @@ def score_runs(
         F.count_if(~fam & F.col("_d").isNotNull()).alias("_other"),
     )
     df = scored.join(n, "run_key", "left").na.fill(0, ["_c", "_m", "_w", "_other"]).withColumn("_hit", F.coalesce("_hit", F.lit(False)))
-    loose, lenient = F.col("photo").isin(any_of or [""]), F.col("photo").isin(no_wrong or [""])
+    loose, lenient = F.col("photo").isin(list(any_of)), F.col("photo").isin(list(no_wrong))
     hit = F.col("_hit").cast("long")
     return df.select(
         "run_key",

@@ -464,15 +464,15 @@ def s05(t):
 
 
 @query("s06_missing_insights", """
-SELECT DISTINCT c.hall_id, 'v' || CAST(month(service_date) AS VARCHAR) AS data_version FROM cap c WHERE NOT EXISTS (
- SELECT 1 FROM customer WHERE c_custkey % 2 = 0 AND 'hall-' || CAST(c_custkey % 5 AS VARCHAR) = c.hall_id AND 'v' || CAST(c_nationkey % 13 AS VARCHAR) = 'v' || CAST(month(c.service_date) AS VARCHAR) AND c_mktsegment = 'BUILDING')""")
+SELECT DISTINCT c.hall_id, 'v' || CAST(year(service_date) * 12 + month(service_date) - 23904 AS VARCHAR) AS data_version FROM cap c WHERE NOT EXISTS (
+ SELECT 1 FROM customer WHERE c_custkey % 2 = 0 AND 'hall-' || CAST(c_custkey % 5 AS VARCHAR) = c.hall_id AND c_custkey % 997 = year(service_date) * 12 + month(service_date) - 23904)""")
 def s06(t):
-    version = F.concat(F.lit("v"), F.month("service_date").cast("string"))
+    version = F.concat(F.lit("v"), (F.year("service_date") * 12 + F.month("service_date") - 23904).cast("string"))
     current = t.services().select("hall_id", version.alias("data_version")).distinct()
     c = F.col("c_custkey")
-    stored = t.read("customer").filter("c_mktsegment = 'BUILDING'").select(
+    stored = t.read("customer").select(
         F.concat(F.lit("hall-"), (c % 5).cast("string")).alias("hall_id"),
-        F.concat(F.lit("v"), (F.col("c_nationkey") % 13).cast("string")).alias("data_version"),
+        F.concat(F.lit("v"), (c % 997).cast("string")).alias("data_version"),
         F.when(c % 2 == 0, "gemini").otherwise("fallback_rules").alias("source"),
     )
     return C.missing_insights(current, stored)

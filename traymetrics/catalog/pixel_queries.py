@@ -146,50 +146,50 @@ def g07(t):
 
 
 @query("g08_build_measurements", RUN_SQL + """
-, base AS (SELECT 'f' || CAST(r_regionkey AS VARCHAR) AS item_id, 20.0::DOUBLE + r_regionkey * 10 AS area FROM region WHERE r_regionkey < 3)
+, base AS (SELECT 'f' || CAST(r_regionkey * 2 AS VARCHAR) AS item_id, 20.0::DOUBLE + r_regionkey * 10 AS area FROM region)
 SELECT event_id, b.item_id, pixels, round(pixels / area, 4) AS raw_waste_fraction, round(100 * least(pixels / area, 1), 4) AS display_waste_percent,
  CASE WHEN area IS NOT NULL THEN NULL WHEN b.item_id IS NULL THEN 'unclassified_food' ELSE 'no_baseline_auxiliary_only' END AS unavailable_reason, coalesce(pixels / area > 1, FALSE) AS above, floor(pixels * 0.0123::DOUBLE * 10000 + 0.5) / 10000 AS area_cm2
 FROM bucket b LEFT JOIN base USING (item_id)""", domain=False)
 def g08(t):
     buckets, totals = K.assign_pixels(runs(t))
     r = F.col("r_regionkey")
-    base = t.read("region").filter(r < 3).select(F.concat(F.lit("f"), r.cast("string")).alias("item_id"), F.lit("b").alias("baseline_id"), (F.lit(20.0) + r * 10).alias("expected_area_px"))
+    base = t.read("region").select(F.concat(F.lit("f"), (r * 2).cast("string")).alias("item_id"), F.lit("b").alias("baseline_id"), (F.lit(20.0) + r * 10).alias("expected_area_px"))
     cals = t.read("orders").select(F.col("o_orderkey").alias("event_id"), F.lit("cal").alias("calibration_id"), F.lit(0.0123).alias("cm2_per_px"))
     df = K.build_measurements(buckets, base, cals).withColumn("above", F.array_contains("quality_flags", "above_baseline"))
     return r4(df.select("event_id", "item_id", "pixels", "raw_waste_fraction", "display_waste_percent", "unavailable_reason", "above", "area_cm2"), "raw_waste_fraction", "display_waste_percent")
 
 
 @query("g11_localization_stats", BOX_SQL + f"""
-, an AS (SELECT event_id, pass, count(*) AS n FROM b2 GROUP BY 1, 2),
-d AS (SELECT event_id, pass, least(greatest(xmin, 0), 1000) * 0.64::DOUBLE AS x0, least(greatest(ymin, 0), 1000) * 0.48::DOUBLE AS y0, least(greatest(xmax, 0), 1000) * 0.64::DOUBLE AS x1, least(greatest(ymax, 0), 1000) * 0.48::DOUBLE AS y1 FROM b2 WHERE idx < 2),
+, an AS (SELECT box_id // 2 AS event_id, pass, box_id // 2 % 5 + pass AS n FROM b2),
+d AS (SELECT box_id // 2 AS event_id, pass, least(greatest(xmin, 0), 1000) * 0.64::DOUBLE AS x0, least(greatest(ymin, 0), 1000) * 0.48::DOUBLE AS y0, least(greatest(xmax, 0), 1000) * 0.64::DOUBLE AS x1, least(greatest(ymax, 0), 1000) * 0.48::DOUBLE AS y1 FROM b2),
 dd AS (SELECT *, (x1 - x0) * (y1 - y0) AS area FROM d WHERE x1 - x0 >= 1 AND y1 - y0 >= 1)
 SELECT event_id, max(CASE WHEN pass = 1 AND n % 3 <> 1 THEN n END) AS pass1_boxes, max(CASE WHEN pass = 2 AND n % 3 <> 1 THEN n END) AS pass2_boxes, count(*) FILTER (n % 3 = 1) AS failed_passes,
  event_id IN (SELECT event_id FROM dd) AS dish_found,
  (SELECT round(floor({IOU.format(a='a', b='b')} / (a.area + b.area - {IOU.format(a='a', b='b')}) * 1000 + 0.5) / 1000, 4) FROM dd a JOIN dd b ON a.event_id = b.event_id AND a.pass = 1 AND b.pass = 2 WHERE a.event_id = an.event_id) AS pass_agreement_iou FROM an GROUP BY event_id""", domain=False)
 def g11(t):
-    b = boxes(t)
-    n = b.groupBy("event_id", "pass").agg(F.count(F.lit(1)).alias("n"))
-    answers = n.select("event_id", "pass", F.when(F.col("n") % 3 != 1, F.col("n")).alias("boxes"))
-    dishes = b.filter("idx < 2").select("event_id", "pass", F.col("raw_box").alias("box"), F.lit(640).alias("width_px"), F.lit(480).alias("height_px"))
+    b = boxes(t).withColumn("event_id", F.floor(F.col("box_id") / 2))  # a photo's two passes, one dish each
+    n = F.col("event_id") % 5 + F.col("pass")
+    answers = b.select("event_id", "pass", F.when(n % 3 != 1, n).alias("boxes"))
+    dishes = b.select("event_id", "pass", F.col("raw_box").alias("box"), F.lit(640).alias("width_px"), F.lit(480).alias("height_px"))
     return K.localization_stats(answers, dishes).withColumn("dish_found", F.coalesce("dish_found", F.lit(False)))
 
 
 @query("a21_mask_agreement", RUN_SQL + """
-, a AS (SELECT DISTINCT event_id, y, unnest(range(x0, x1)) AS x FROM runs WHERE flag = 'A'), n AS (SELECT DISTINCT event_id, y, unnest(range(x0, x1)) AS x FROM runs WHERE flag = 'N'),
+, a AS (SELECT DISTINCT event_id, y, unnest(range(x0, x1)) AS x FROM runs WHERE flag IN ('A', 'R')), n AS (SELECT DISTINCT event_id, y, unnest(range(x0, x1)) AS x FROM runs WHERE flag = 'N'),
 j AS (SELECT coalesce(a.event_id, n.event_id) AS event_id, a.event_id IS NOT NULL AS p, n.event_id IS NOT NULL AS q FROM a FULL JOIN n ON a.event_id = n.event_id AND a.y = n.y AND a.x = n.x)
 SELECT event_id, count(*) FILTER (p AND q) AS tp, count(*) FILTER (p AND NOT q) AS fp, count(*) FILTER (q AND NOT p) AS fn, round(count(*) FILTER (p AND q) / count(*), 4) AS iou,
  round(2 * count(*) FILTER (p AND q) / (count(*) FILTER (p) + count(*) FILTER (q)), 4) AS dice, round(abs(count(*) FILTER (p) - count(*) FILTER (q)) / nullif(count(*) FILTER (q), 0), 4) AS relative_error FROM j GROUP BY 1""", domain=False)
 def a21(t):
-    return r4(K.mask_agreement(runs(t, "A"), runs(t, "N")).drop("absolute_error"), "iou", "dice", "relative_error")
+    return r4(K.mask_agreement(runs(t, "A").unionByName(runs(t, "R")), runs(t, "N")).drop("absolute_error"), "iou", "dice", "relative_error")
 
 
 @query("a21_agreement_means", RUN_SQL + """
-, a AS (SELECT DISTINCT event_id, y, unnest(range(x0, x1)) AS x FROM runs WHERE flag = 'A'), n AS (SELECT DISTINCT event_id, y, unnest(range(x0, x1)) AS x FROM runs WHERE flag = 'N'),
+, a AS (SELECT DISTINCT event_id, y, unnest(range(x0, x1)) AS x FROM runs WHERE flag IN ('A', 'R')), n AS (SELECT DISTINCT event_id, y, unnest(range(x0, x1)) AS x FROM runs WHERE flag = 'N'),
 j AS (SELECT coalesce(a.event_id, n.event_id) AS event_id, a.event_id IS NOT NULL AS p, n.event_id IS NOT NULL AS q FROM a FULL JOIN n ON a.event_id = n.event_id AND a.y = n.y AND a.x = n.x),
 m AS (SELECT count(*) FILTER (p AND q) / count(*) AS iou, abs(count(*) FILTER (p) - count(*) FILTER (q)) AS err FROM j GROUP BY event_id)
 SELECT count(*) AS images, round(avg(iou), 4) AS mean_iou, round(avg(err), 4) AS mean_absolute_error FROM m""", domain=False)
 def a21_means(t):
-    df = K.agreement_means(K.mask_agreement(runs(t, "A"), runs(t, "N")))
+    df = K.agreement_means(K.mask_agreement(runs(t, "A").unionByName(runs(t, "R")), runs(t, "N")))
     return r4(df.select("images", "mean_iou", "mean_absolute_error"), "mean_iou", "mean_absolute_error")
 
 

@@ -255,3 +255,19 @@ def test_toxicity_of_awkward_rows(spark):
         assert set(docs.columns) <= set(out.columns)
     assert toxicity.score(docs.limit(0), toxicity.fit(docs, some)).count() == 0
     assert toxicity.fit(docs.limit(0), some) == 0.0
+
+
+def test_tables_of_equal_length_have_codecs_of_their_own(spark, tmp_path):
+    import base64
+
+    import public_tokenizers
+
+    from traymetrics.llm import bpe
+
+    ranks = bpe.read_ranks(public_tokenizers.path(bpe.RANK_FILE))
+    swap = {b"th": ranks[b"he"], b"he": ranks[b"th"]}
+    other = tmp_path / "other.tiktoken"
+    other.write_bytes(b"\n".join(base64.b64encode(t) + b" %d" % swap.get(t, r) for t, r in ranks.items()))
+    docs = spark.createDataFrame([(1, "th")], "doc_id long, text string")
+    first, second = (bpe.encode(docs, path).first()["ids"] for path in (None, str(other)))
+    assert first != second and bpe.encode(docs, str(other)).first()["ids"] == second

@@ -1,9 +1,9 @@
 """Operator 2, byte-level BPE encoding and decoding by corpus-level merge replay.
 
-A task takes the distinct words of its part of the corpus, lays their bytes out as one chain of
-symbols, and keeps an inverted index from rank to the places whose pair has that rank. The ranks are
+A task takes the words of a slice of its part of the corpus that it has not met yet, lays their bytes
+out as one chain of symbols, and keeps an inverted index from rank to the places whose pair has that rank. The ranks are
 replayed in order; each merge touches only its two neighbours and enters their new pairs in the
-index. Words repeat, so each is replayed once per task; its ids then stand for every occurrence.
+index. Words repeat, so what a task has replayed is remembered; its ids then stand for every occurrence.
 Words do not influence one another, so parts of the corpus need no exchange.
 """
 
@@ -145,17 +145,25 @@ class Codec:
         return b"".join(map(self.tokens.__getitem__, np.frombuffer(packed, "<u4").tolist()))
 
 
-_codecs: dict[str, Codec] = {}
+_codecs: dict[tuple[str, str], Codec] = {}
+
+
+def _share(docs: DataFrame, path: str | None):
+    """The table of ranks as a broadcast, with a name that only an equal table has."""
+    ranks = read_ranks(path or public_tokenizers.path(RANK_FILE))
+    name = hashlib.sha256()
+    for token, rank in sorted(ranks.items()):
+        name.update(len(token).to_bytes(4, "little") + token + rank.to_bytes(4, "little"))
+    return docs.sparkSession.sparkContext.broadcast((name.hexdigest(), ranks))
 
 
 def _codec(shared, pattern: str) -> Codec:
-    """One codec per Python worker and table."""
-    ranks = shared.value
-    name = hashlib.sha256(repr((len(ranks), sorted(ranks.items())[:: max(1, len(ranks) // 97)], pattern)).encode()).hexdigest()
-    if name not in _codecs:
+    """One codec per Python worker; another table or pattern replaces it."""
+    table, ranks = shared.value
+    if (table, pattern) not in _codecs:
         _codecs.clear()
-        _codecs[name] = Codec(ranks, pattern)
-    return _codecs[name]
+        _codecs[table, pattern] = Codec(ranks, pattern)
+    return _codecs[table, pattern]
 
 
 def _texts(batch: pa.RecordBatch, column: str) -> Iterator[tuple[int, int, list[str]]]:
@@ -170,7 +178,7 @@ def encode(docs: DataFrame, ranks_path: str | None = None, pattern: str = public
     A column of that name in ``docs`` is replaced. No special tokens; one text may have any length.
     ``checked`` names a further column: whether the ids decode to the text's bytes.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(read_ranks(ranks_path or public_tokenizers.path(RANK_FILE)))
+    shared = _share(docs, ranks_path)
     added = {ids: F.lit(None).cast("array<int>")} | ({checked: F.lit(None).cast("boolean")} if checked else {})
     docs, names = docs.drop(*added), list(added)
 
@@ -192,11 +200,11 @@ def encode(docs: DataFrame, ranks_path: str | None = None, pattern: str = public
 
 def decode(coded: DataFrame, ranks_path: str | None = None, ids: str = "ids", out: str = "decoded") -> DataFrame:
     """``coded`` with a binary column: the bytes the ids stand for (null ids: no bytes)."""
-    shared = coded.sparkSession.sparkContext.broadcast(read_ranks(ranks_path or public_tokenizers.path(RANK_FILE)))
+    shared = _share(coded, ranks_path)
     coded = coded.drop(out)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = {r: t for t, r in shared.value.items()}
+        tokens = {r: t for t, r in shared.value[1].items()}
         for batch in batches:
             rows = batch.column(batch.schema.get_field_index(ids))
             column = pa.array((b"".join(map(tokens.__getitem__, r.as_py() or ())) for r in rows), pa.binary())
@@ -207,7 +215,7 @@ def decode(coded: DataFrame, ranks_path: str | None = None, ids: str = "ids", ou
 
 def round_trip(docs: DataFrame, ranks_path: str | None = None, pattern: str = public_tokenizers.PATTERN, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row of ``docs``: key, n_tokens, ids_sha256, decoded_sha256, encoded and decoded in one pass."""
-    shared = docs.sparkSession.sparkContext.broadcast(read_ranks(ranks_path or public_tokenizers.path(RANK_FILE)))
+    shared = _share(docs, ranks_path)
     docs = docs.select(F.col(key).cast("long").alias("_key"), F.col(text).alias("_text"))
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -11,7 +11,7 @@ import tiktoken
 from pyspark.sql import functions as F
 
 from traymetrics.llm import boosting, bpe, pii, quality, warc
-from traymetrics.llm.common import QUERIES
+from traymetrics.llm.queries import LLM_QUERIES as QUERIES
 from traymetrics.session import scratch_path
 
 import plain

@@ -198,6 +198,19 @@ def q15(t):
     return Q.capture_detail(store(t))
 
 
+@query("q15_nested_capture_detail", """
+, a AS (SELECT event_id, string_agg(concat_ws(' ', attempt_id, status, menu_version, coalesce(count_status, '-'), coalesce(CAST(CAST(capture_pixels_wasted AS BIGINT) AS VARCHAR), '-'), coalesce(calibration_id, '-'), coalesce(overlay_object_id, '-')), ';' ORDER BY created_at, attempt_id) AS txt FROM attempt GROUP BY 1),
+m AS (SELECT attempt_id, string_agg(concat_ws(' ', measurement_id, coalesce(item_id, '-'), CAST(remaining_area_px AS BIGINT), coalesce(CAST(CAST(baseline_area_px AS BIGINT) AS VARCHAR), '-'), method), ';' ORDER BY measurement_id, item_id NULLS FIRST, remaining_area_px) AS txt FROM meas GROUP BY 1)
+SELECT c.event_id, c.service_id, c.state, c.captured_at, CASE WHEN c.state = 'succeeded' THEN k.attempt_id END AS counted_attempt_id, coalesce(a.txt, '') AS attempts, CASE WHEN c.state = 'succeeded' THEN coalesce(m.txt, '') ELSE '' END AS measurements
+FROM cap c LEFT JOIN counted k USING (event_id) LEFT JOIN a ON a.event_id = c.event_id LEFT JOIN m ON m.attempt_id = k.attempt_id""")
+def q15_nested(t):
+    told = lambda c: F.coalesce(c.cast("string"), F.lit("-"))
+    lines = lambda rows, fn: F.array_join(F.transform(rows, lambda r: F.concat_ws(" ", *fn(r))), ";").alias(rows)
+    attempts = lines("attempts", lambda r: [told(r[c]) for c in ("attempt_id", "status", "menu_version", "count_status", "capture_pixels_wasted", "calibration_id", "overlay_object_id")])
+    rows = lines("measurements", lambda r: [told(r["measurement_id"]), told(r["item_id"]), told(r["remaining_area_px"].cast("long")), told(r["baseline_area_px"].cast("long")), r["method"]])
+    return Q.nested_capture_detail(store(t)).select("event_id", "service_id", "state", "captured_at", "counted_attempt_id", attempts, rows)
+
+
 @query("q16_measurement_settings", """
 SELECT 'hall-' || CAST(c_custkey AS VARCHAR) AS hall_id, s.cal AS active_calibration_id, s.cal IS NULL AS is_default FROM customer LEFT JOIN (SELECT s_suppkey AS k, 'cal-' || CAST(s_suppkey AS VARCHAR) AS cal FROM supplier) s ON s.k = c_custkey""", domain=False)
 def q16(t):

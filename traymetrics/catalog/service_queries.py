@@ -449,6 +449,12 @@ def a14(t):
     return r4(daily(t), "percent_sum")
 
 
+@query("a14_plate_percents", A12_SQL + """
+SELECT service_date, event_id, round(pct, 4) AS plate_waste_percent FROM pl WHERE service_date BETWEEN DATE '1995-01-01' AND DATE '2001-12-31'""")
+def a14_percents(t):
+    return r4(S.plate_percents(plates(t), t.services(), START, END), "plate_waste_percent")
+
+
 @query("a15_period_cards", A14_SQL + """
 , p AS (SELECT * FROM (VALUES ('today', DATE '1998-04-01'), ('week', DATE '1998-03-30'), ('month', DATE '1998-04-01')) v(period, d0)),
 w AS (SELECT period, d0, DATE '1998-04-01' AS d1, d0 - CAST(DATE '1998-04-01' - d0 + 1 AS INTEGER) AS p0, d0 - 1 AS p1 FROM p)

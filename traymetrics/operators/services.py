@@ -358,6 +358,15 @@ def daily_pixels(summary: DataFrame, plates: DataFrame, services: DataFrame, sta
     return df.withColumns({c: F.coalesce(F.col(c), F.lit(0)) for c in zero})
 
 
+def plate_percents(plates: DataFrame, services: DataFrame, start, end) -> DataFrame:
+    """A-14: the plates of each service date from ``start`` to ``end`` with their percents, nulls included.
+
+    One row a plate rather than one list a day, so a day of any size stays spread.
+    """
+    days = services.filter(F.col("service_date").between(F.lit(start).cast("date"), F.lit(end).cast("date")))
+    return plates.drop("service_date").join(days.select("service_id", "service_date"), "service_id").select("service_date", "event_id", "plate_waste_percent")
+
+
 def period_cards(daily: DataFrame, today) -> DataFrame:
     """A-15: today, this week (from Monday), this month, each with the previous window of equal length."""
     df = with_periods(daily, "service_date", today, previous=True)

@@ -276,6 +276,31 @@ def capture_detail(store: Store) -> DataFrame:
     )
 
 
+def nested_capture_detail(store: Store) -> DataFrame:
+    """Q-15: every event with all its attempts (oldest first), the counted one's id and its measurements (by id).
+
+    Attempts and measurements are whole rows, in the order of their columns where ids repeat; an event
+    that has not succeeded counts nothing.
+    """
+    base = J.with_attempts(store.captures, store.attempts).drop("latest_attempt_id", "latest_status")
+
+    def nested(df: DataFrame, name: str, *first: str) -> DataFrame:
+        row = F.struct(*first, *[c for c in df.columns if c not in ("event_id", *first)])
+        return df.groupBy("event_id").agg(F.array_sort(F.collect_list(row)).alias(name))
+
+    attempts = nested(store.attempts, "attempts", "created_at", "attempt_id")
+    rows = nested(store.counted_rows(), "measurements", "measurement_id")
+    none = {name: F.array().cast(df.schema[name].dataType) for df, name in ((attempts, "attempts"), (rows, "measurements"))}
+    out = base.join(attempts, "event_id", "left").join(rows, "event_id", "left")
+    counts = F.col("counted_attempt_id").isNotNull()
+    return out.withColumns(
+        {
+            "attempts": F.coalesce("attempts", none["attempts"]),
+            "measurements": F.coalesce(F.when(counts, F.col("measurements")), none["measurements"]),
+        }
+    )
+
+
 def calibration_list(calibrations: DataFrame, newest: list[str]) -> DataFrame:
     """Q-16."""
     return P.newest_first(calibrations, newest)

@@ -9,9 +9,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from traymetrics.session import materialize
+
 # fixed values
 MIN_BOX_COVERAGE, MIN_REGION_FRACTION, MAX_REGION_FRACTION, BOX_MARGIN_FRACTION = 0.5, 0.02, 0.95, 0.05
 SPECK_FRAME_FRACTION, SPECK_LARGEST_FRACTION = 0.0005, 0.02
@@ -283,40 +286,45 @@ def photo_metrics(images: DataFrame) -> DataFrame:
     )
 
 
+def _mask_fault(px: np.ndarray, on: np.ndarray, want: tuple[int, int], declared: int) -> str | None:
+    """Why a decoded mask (height, width, channels) is rejected; ``on`` marks its pixels of 255."""
+    total = int(on.sum())
+    faults = {
+        "mask_dimension_mismatch": lambda: (px.shape[1], px.shape[0]) != want,
+        "mask_not_greyscale": lambda: (px != px[:, :, :1]).any(),
+        "mask_not_binary": lambda: ((px[:, :, 0] != 0) & ~on).any(),
+        "mask_empty": lambda: total == 0,
+        "mask_count_mismatch": lambda: total != declared,
+    }
+    return next((name for name, holds in faults.items() if holds()), None)
+
+
 def mask_runs(images: DataFrame) -> tuple[DataFrame, DataFrame]:
     """G-10: (runs, rejects) of mask images that must match their declared size and pixel count.
 
     ``images`` has id, height, width, nChannels, data, want_width, want_height, declared_pixels.
-    A mask may hold only 0 and 255; any other value is rejected, never thresholded.
+    A mask may hold only 0 and 255; any other value is rejected, never thresholded. Images are decoded
+    once, for both results, and leave the task one at a time.
     """
     kind = dict(images.dtypes)["id"]
 
-    def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out = []
-            for r in pdf.itertuples(index=False):
-                px = np.frombuffer(r.data, dtype=np.uint8).reshape(r.height, r.width, r.nChannels)
-                flat = px[:, :, 0]
-                total = int((flat == 255).sum())
-                if (r.width, r.height) != (r.want_width, r.want_height):
-                    reason = "mask_dimension_mismatch"
-                elif (px != px[:, :, :1]).any():
-                    reason = "mask_not_greyscale"
-                elif ((flat != 0) & (flat != 255)).any():
-                    reason = "mask_not_binary"
-                elif total == 0:
-                    reason = "mask_empty"
-                elif total != r.declared_pixels:
-                    reason = "mask_count_mismatch"
+    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                height, width, channels, data, *want, declared = (c[k].as_py() for c in batch.columns[1:])
+                px = np.frombuffer(data, np.uint8).reshape(height, width, channels)
+                on = px[:, :, 0] == 255
+                reason = _mask_fault(px, on, tuple(want), declared)
+                if reason is None:
+                    edges = np.diff(np.pad(on.astype(np.int8), ((0, 0), (1, 1))), axis=1)
+                    (y, x0), x1 = np.nonzero(edges == 1), np.nonzero(edges == -1)[1]
+                    places = [pa.array(v.astype(np.int32)) for v in (y, x0, x1)]
                 else:
-                    edges = np.diff(np.pad((flat == 255).astype(np.int8), ((0, 0), (1, 1))), axis=1)
-                    starts, ends = np.argwhere(edges == 1), np.argwhere(edges == -1)
-                    out.extend((r.id, int(y), int(a), int(b), None) for (y, a), (_, b) in zip(starts, ends))
-                    continue
-                out.append((r.id, None, None, None, reason))
-            yield pd.DataFrame(out, columns=["id", "y", "x0", "x1", "reason"])
-
-    df = images.select("id", "height", "width", "nChannels", "data", "want_width", "want_height", "declared_pixels").mapInPandas(
-        decode, f"id {kind}, y int, x0 int, x1 int, reason string"
-    )
+                    places = [pa.nulls(1, pa.int32())] * 3
+                n = len(places[0])
+                ids = batch.column(0).take(pa.array(np.full(n, k)))
+                yield pa.RecordBatch.from_arrays([ids, *places, pa.array([reason] * n, pa.string())], ["id", "y", "x0", "x1", "reason"])
+
+    df = images.select("id", "height", "width", "nChannels", "data", "want_width", "want_height", "declared_pixels")
+    df = materialize(df.mapInArrow(decode, f"id {kind}, y int, x0 int, x1 int, reason string"))
     return df.filter(F.col("reason").isNull()).drop("reason"), df.filter(F.col("reason").isNotNull()).select("id", "reason")

@@ -125,6 +125,39 @@ def test_boosted_trees_add_what_looks_right(spark):
     assert loose <= 18  # the threshold was set for few false spans
 
 
+LOOSE = {
+    "email": "jane.miller7 [at] mail2 [dot] com",
+    "ip": "2001:db8:0:0:0:ff00:42:8329",
+    "card": "4111.1111.1111.1111",
+    "phone": "(212) 555-1234",
+}
+
+
+def test_spelled_out_personal_data_is_added_on_a_small_table(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    planted = [(10**9 + k, f"ereat thon in the {span} andeou the") for k, span in enumerate(LOOSE.values())]
+    planted += [(10**9 + 10, "paid by 4111.1111.1111.1112 then"), (10**9 + 11, "meet me at noon in version 3.5 of 1234567890"), (10**9 + 12, "call +1 (212) 555-1234 now")]
+    out = pii.find_pii(docs.union(spark.createDataFrame(planted, docs.schema))).filter(f"doc_id >= {10**9} OR exists(spans, s -> NOT s.base)").collect()
+    got = {r["doc_id"]: [(s["kind"], s["start"], s["end"], s["base"]) for s in r["spans"]] for r in out}
+    for k, (kind, span) in enumerate(LOOSE.items()):
+        assert got.pop(10**9 + k) == [(kind, 18, 18 + len(span), False)]
+    assert got.pop(10**9 + 12) == [("phone", 5, 22, True)]  # the part without its +1 is inside
+    assert got.pop(10**9 + 10) == got.pop(10**9 + 11) == []
+    assert not got  # nothing is added to the other documents
+
+
+def test_precision_bound():
+    assert pii.precision_bound(0, 0) == 0 and pii.precision_bound(8, 0) < 0.9 < pii.precision_bound(10, 0)
+    assert pii.precision_bound(900, 100) < 0.9 < pii.precision_bound(920, 80)
+    rows = [(2.0, 30, 0), (1.0, 10, 1), (0.0, 1, 40)]
+    assert pii._lowest(rows, 0.9) == 1.0 and pii._lowest(rows[2:], 0.9) is None and pii._lowest([], 0.9) is None
+
+
+def test_folds_and_spans_do_not_depend_on_the_layout(spark):
+    df = plain.documents(spark, pii_rows())
+    assert plain.rows_of(pii.find_pii(df.repartition(7)).selectExpr("doc_id", "to_json(spans)")) == plain.rows_of(pii.find_pii(df.coalesce(1)).selectExpr("doc_id", "to_json(spans)"))
+
+
 def test_boosting_learns_an_interaction():
     cells = [boosting.Cell((a, b), 90.0 if a == b else 10.0, 10.0 if a == b else 90.0) for a in (0, 1) for b in (0, 1)]
     cells[0] = boosting.Cell((0, 0), 95.0, 10.0)

@@ -79,7 +79,10 @@ class Boosted:
     trees: list[Split | Leaf]
 
     def logit(self, codes: Sequence[int]) -> float:
-        return self.base + sum(_value(t, codes) for t in self.trees)
+        out = self.base
+        for t in self.trees:  # added in the order of ``column``, so both give the same double
+            out += _value(t, codes)
+        return out
 
     def column(self, codes: Sequence[Column]) -> Column:
         """The logit of a row."""

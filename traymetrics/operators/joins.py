@@ -13,6 +13,7 @@ from traymetrics.functions.dates import local_date, local_hhmm
 from traymetrics.functions.geometry import COORDINATE_SPACE, box_iou, positive_int
 from traymetrics.functions.numbers import finite_nonneg, finite_positive, js_round
 from traymetrics.functions.text import readable_item_name, slug
+from traymetrics.operators.lookups import lookup_join
 from traymetrics.operators.ordering import carry_last, drop_chunks, ordered_chunks
 from traymetrics.operators.picking import counted_attempts, first_by_priority, latest_attempts
 
@@ -44,11 +45,11 @@ def resolve_item_names(ids: DataFrame, items: DataFrame, revisions: DataFrame) -
     own = items.select("menu_id", "item_id", F.col("display_name").alias("_own"))
     any_row = items.groupBy("item_id").agg(F.min_by("display_name", "menu_id").alias("_any"))
     old = revisions.groupBy("item_id").agg(F.max_by("display_name", "menu_version").alias("_old"))
+    named = lookup_join(ids, own, ["menu_id", "item_id"])
+    for names in (any_row, old):
+        named = lookup_join(named, names, ["item_id"])
     return (
-        ids.join(own, ["menu_id", "item_id"], "left")
-        .join(any_row, "item_id", "left")
-        .join(old, "item_id", "left")
-        .withColumn("display_name", F.coalesce("_own", "_any", "_old", readable_item_name("item_id")))
+        named.withColumn("display_name", F.coalesce("_own", "_any", "_old", readable_item_name("item_id")))
         .drop("_own", "_any", "_old")
     )
 
@@ -62,21 +63,17 @@ def factor_lookup(waste: DataFrame) -> DataFrame:
 def join_factors(df: DataFrame, waste: DataFrame, nutrition: DataFrame, name: str = "display_name") -> DataFrame:
     """J-4: factors by the slug of the display name; no match leaves nulls."""
     picked = factor_lookup(waste).select(
-        F.col("factor_key").alias("_fk"),
+        F.col("factor_key").alias("_slug"),
+        "factor_key",
         F.col("table").alias("factor_table"),
         "weight_g_per_cm2",
         "kg_co2e_per_kg",
         "water_m3_per_kg",
         "impact_usd_per_kg",
     )
-    days = nutrition.groupBy(F.col("factor_key").alias("_nk")).agg(F.max("nutrient_days_per_kg").alias("nutrient_days_per_kg"))
-    return (
-        df.withColumn("_slug", slug(name))
-        .join(picked, F.col("_slug") == F.col("_fk"), "left")
-        .join(days, F.col("_slug") == F.col("_nk"), "left")
-        .withColumnRenamed("_fk", "factor_key")
-        .drop("_slug", "_nk")
-    )
+    days = nutrition.groupBy(F.col("factor_key").alias("_slug")).agg(F.max("nutrient_days_per_kg").alias("nutrient_days_per_kg"))
+    found = lookup_join(df.withColumn("_slug", slug(name)), picked, ["_slug"])
+    return lookup_join(found, days, ["_slug"]).drop("_slug")
 
 
 def unique_portions(portions: DataFrame) -> DataFrame:

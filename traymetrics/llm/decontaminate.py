@@ -9,6 +9,9 @@ that many words is a fingerprint, which is winnowing with a stretch of one.
 
 The benchmark is used in blocks of bounded size, each broadcast once while all documents pass by;
 documents never move, so neither a hot source nor a passage in every document makes a large task.
+What travels of a block is its text, the bounds of its words, and for each length the sorted hashes
+of its windows with their places, some seven bytes for each byte of text. One block is in use at a
+time: between blocks the marked documents are landed.
 """
 
 from __future__ import annotations
@@ -22,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
-from traymetrics.llm.common import land, query, table
+from traymetrics.llm.common import drop_landed, land, query, table
 from traymetrics.llm.rolling import covered, gram_hashes, per_word, runs, slices, sliding_min, span_hashes, words
 
 WINDOW = 10
@@ -80,34 +83,51 @@ def _place_bits(x: np.ndarray, sorted_values: np.ndarray) -> np.ndarray:
 
 
 class _Index:
-    """Windows, window hashes and fingerprints of one block of the benchmark."""
+    """Words, places of windows by their sorted hashes, and fingerprints of one block of the benchmark."""
 
     def __init__(self, items: list[Row], window: int, k: int):
-        self.window, self.k = window, k
+        self.window, self.k, self.ids = window, k, [r["item_id"] for r in items]
         column = pa.array([r["text"] or "" for r in items], pa.string())
-        self.items: dict[bytes, set] = defaultdict(set)
-        self.by_length: dict[int, np.ndarray] = {}
-        marks, grams = [], defaultdict(list)
-        for lo, hi, buf, bounds in slices(column):
+        none = np.zeros(0, np.int64)
+        starts, ends, owners, texts, marks, grams = [none], [none], [none], [], [np.zeros(0, np.uint64)], defaultdict(list)
+        n_words = n_bytes = 0
+        for lo, _, buf, bounds in slices(column):
             w = _Words(buf, bounds)
             counts = np.diff(w.first)
-            places = w.fingerprints(window, k)
-            marks.append(gram_hashes(w.hashes, k)[places] if len(places) else np.zeros(0, np.uint64))
+            fingerprints = w.fingerprints(window, k)
+            if len(fingerprints):
+                marks.append(gram_hashes(w.hashes, k)[fingerprints])
             at, hashes = w.grams(window)
-            grams[window].append(hashes)
-            for p in at:
-                self.items[w.text(p, window)].add(items[lo + w.row[p]]["item_id"])
+            grams[window].append((hashes, at + n_words))
             for d in np.flatnonzero((counts > 0) & (counts < window)):
                 n = int(counts[d])
-                grams[n].append(gram_hashes(w.hashes[w.first[d] : w.first[d + 1]], n))
-                self.items[w.text(w.first[d], n)].add(items[lo + d]["item_id"])
-        self.marks = np.unique(np.concatenate(marks)) if marks else np.zeros(0, np.uint64)
-        self.by_length = {n: np.unique(np.concatenate(h)) for n, h in grams.items() if sum(map(len, h))}
-        self.items = dict(self.items)
+                grams[n].append((gram_hashes(w.hashes[w.first[d] : w.first[d + 1]], n), np.array([w.first[d] + n_words])))
+            starts.append(w.starts + n_bytes)
+            ends.append(w.ends + n_bytes)
+            owners.append(w.row + lo)
+            texts.append(w.bytes)
+            n_words, n_bytes = n_words + len(w.starts), n_bytes + len(w.bytes)
+        self.starts, self.ends, self.owner = (np.concatenate(x).astype(np.int32) for x in (starts, ends, owners))
+        self.bytes, self.marks = b"".join(texts), np.unique(np.concatenate(marks))
+        self.by_length = {n: self._sorted(n, *map(np.concatenate, zip(*parts))) for n, parts in grams.items() if sum(len(h) for h, _ in parts)}
+
+    def _sorted(self, n: int, hashes: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes in order and their places; of equal windows of one item the first."""
+        order = np.lexsort((places, self.owner[places], hashes))
+        hashes, places = hashes[order], places[order].astype(np.int32)
+        again = np.zeros(len(hashes), bool)
+        again[1:] = (hashes[1:] == hashes[:-1]) & (self.owner[places[1:]] == self.owner[places[:-1]])
+        for i in np.flatnonzero(again):
+            again[i] = self.text(places[i], n) == self.text(places[i - 1], n)
+        return hashes[~again], places[~again]
+
+    def text(self, place: int, n: int) -> bytes:
+        return b" ".join(self.bytes[s:e] for s, e in zip(self.starts[place : place + n], self.ends[place : place + n]))
 
     def hits(self, w: _Words) -> Iterator[tuple[int, int, set]]:
         """(word place, words, items) of every window that occurs in the texts."""
-        for n, known in self.by_length.items():
+        seen: dict[tuple[int, bytes], set] = {}
+        for n, (known, at) in self.by_length.items():
             if n == self.window:
                 marks = w.fingerprints(self.window, self.k)
                 if not len(marks):
@@ -120,12 +140,17 @@ class _Index:
                 around = around[around + n <= w.row_end[around]]
                 places = around[_place_bits(hashes[around], known)]
             else:
-                places, hashes = w.grams(n)
-                places = places[_place_bits(hashes, known)]
-            for p in places:
-                found = self.items.get(w.text(p, n))
-                if found is not None:
-                    yield int(p), n, found
+                places, _ = w.grams(n)
+                hashes = gram_hashes(w.hashes, n)
+                places = places[_place_bits(hashes[places], known)]
+            lows, highs = (np.searchsorted(known, hashes[places], side) for side in ("left", "right"))
+            for p, lo, hi in zip(places.tolist(), lows.tolist(), highs.tolist()):
+                words_here = w.text(p, n)
+                found = seen.get((n, words_here))
+                if found is None:
+                    found = seen[n, words_here] = {self.ids[self.owner[q]] for q in at[lo:hi] if self.text(q, n) == words_here}
+                if found:
+                    yield p, n, found
 
 
 def _blocks(benchmark: DataFrame, limit: int) -> Iterator[list[Row]]:
@@ -154,7 +179,13 @@ def mark_contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text"
     extra = {_COUNT: F.lit(0).cast("long"), _SPANS: F.array().cast("array<int>"), _ITEMS: F.array().cast("array<string>")}
     out = docs.withColumns(extra)
     schema = out.schema
-    for items in _blocks(benchmark, block_bytes):
+    before = None
+    for number, items in enumerate(_blocks(benchmark, block_bytes)):
+        if number:
+            out, last = land(out, "marked"), before
+            before = out
+            if last is not None:
+                drop_landed(last)
         shared = docs.sparkSession.sparkContext.broadcast(_Index(items, window, k))
 
         def task(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:

@@ -10,7 +10,7 @@ that many words is a fingerprint, which is winnowing with a stretch of one.
 The benchmark is used in blocks of bounded size, each broadcast once while all documents pass by;
 documents never move, so neither a hot source nor a passage in every document makes a large task.
 What travels of a block is its text, the bounds of its words, and for each length the sorted hashes
-of its windows with their places, some seven bytes for each byte of text. One block is in use at a
+of its windows with their places, about five bytes for each byte of text. One block is in use at a
 time: between blocks the marked documents are landed.
 """
 

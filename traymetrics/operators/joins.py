@@ -1,6 +1,6 @@
 """Joins between captures, attempts, measurements, menus, factors and calibrations.
 
-No side is force-broadcast unless its row count is bounded by construction; otherwise the
+No side is force-broadcast unless its row count is bounded by construction or counted (``lookup_join``); otherwise the
 optimizer decides from measured sizes, and adaptive execution splits skewed join keys.
 """
 

@@ -153,3 +153,17 @@ def test_shards_have_near_equal_sizes_with_a_hot_text(spark):
     groups = sharding.shard(plain.documents(spark, rows, clash=False)).filter("text_crc32 <> " + str(zlib.crc32(("same text" * 20).encode())))
     split = groups.groupBy("text_crc32").agg(F.countDistinct("shard").alias("n"), F.sum("size").alias("b")).filter("n > 1").collect()
     assert all(r["b"] > 0.02 * sum(sizes) / 24 for r in split)
+
+
+def test_index_of_a_block_keeps_every_item_of_a_window():
+    line = "one two three four five six seven eight nine ten"
+    items = [{"item_id": k, "text": t} for k, t in enumerate([line + " " + line, line.upper() + " eleven", "only three words", None, "", "only three words", "same " * 30, line])]
+    index = decontaminate._Index(items, 10, 5)
+    hashes, places = index.by_length[10]
+    assert sorted(index.by_length) == [3, 10] and (hashes[1:] >= hashes[:-1]).all()
+    owners = [(index.text(p, 10), index.ids[index.owner[p]]) for p in places]
+    assert len(owners) == len(set(owners))  # a window repeated inside one item is kept once
+    assert {i for t, i in owners if t == line.encode()} == {0, 1, 7}
+    assert [i for t, i in owners if t == b" ".join([b"same"] * 10)] == [6]
+    assert {index.ids[index.owner[p]] for p in index.by_length[3][1]} == {2, 5}
+    assert not decontaminate._Index([], 10, 5).by_length
